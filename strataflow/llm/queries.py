@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import line_dedup
+from strataflow.llm import bpe, line_dedup, near_dedup, token_blocks, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "score", "toxic")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents"))
+
+
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.token_blocks(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_bpe": op3_bpe,
+    "op4_token_blocks": op4_token_blocks,
+    "op5_near_dedup": op5_near_dedup,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
