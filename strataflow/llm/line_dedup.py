@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines.
 
-A line's set is its distinct words (lower case, split at white space). A line goes if an earlier line
+A line's set is its distinct words (lower case, split at ASCII white space). A line goes if an earlier line
 (by doc_id, then line number) has a set of Jaccard similarity >= threshold, whether or not that line stays itself.
 
 1. Word frequencies over all lines, summed by hash bucket (a table of fixed size), order the words by rarity; the hash
@@ -24,7 +24,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.llm._shared import array_of, emptied, hashes, mix, slices, stored, words
@@ -42,6 +42,12 @@ def split_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat, np.repeat(np.arange(len(count)), count), np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], count)
 
 
+def distinct_words(offsets: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """line << 32 | word, sorted, each once."""
+    key = np.sort(np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets)) << np.uint64(32) | codes.astype(np.uint64))
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+
+
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, seen = np.zeros(BUCKETS, np.int64), False
     for b in slices(batches, "text"):
@@ -82,8 +88,7 @@ def line_rows(counts: np.ndarray, t: Fraction):
             order = np.lexsort((h, counts[(h % np.uint64(BUCKETS)).astype(np.int64)]))
             rank = np.empty(len(h), np.uint64)
             rank[order] = np.arange(len(h), dtype=np.uint64)
-            key = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(offsets)) << np.uint64(32) | rank[codes])
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+            key = distinct_words(offsets, rank[codes])
             line, word = (key >> np.uint64(32)).astype(np.int64), h[order[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]]
             start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             at, n = line[start], np.diff(np.append(start, len(line)))
@@ -111,18 +116,21 @@ def line_rows(counts: np.ndarray, t: Fraction):
 
 
 LINE_ROWS = "doc_id long, line_no int, h1 long, h2 long, n int, bits long, prefix array<long>"
-CANDIDATE_ROWS = "x_doc long, x_line int, x_h1 long, x_h2 long, y_doc long, y_line int, more boolean"
+#: Postings are five numbers: word, doc_id, line_no << 32 | place in the prefix, 32 bits of the set's hash << 32 | size, bitmap.
+POSTING = ["word", "doc_id", "at", "of", "bits"]
+CANDIDATE_ROWS = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 
 
 def candidates(t: Fraction, most: int | None):
     """Postings sorted by (word, doc_id, line_no) -> for each, the earlier ones that pass the filters (the first `most`)."""
 
     def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        same = np.lexsort((np.arange(len(c["word"])), c["h1"], c["word"]))
-        w, h = c["word"][same], c["h1"][same]
+        same = np.lexsort((np.arange(len(c["word"])), c["of"], c["word"]))
+        w, h, bits = c["word"][same], c["of"][same], c["bits"][same]
         keep = np.zeros(len(same), bool)
-        keep[same[np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])])]] = True
+        keep[same[np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (bits[1:] != bits[:-1])])]] = True
         c = {k: v[keep] for k, v in c.items()}
+        c |= {"line_no": (c["at"] >> 32).astype(np.int32), "place": c["at"] & 0xFFFFFFFF, "n": c["of"] & 0xFFFFFFFF, "wanted": c.get("wanted", np.ones(len(c["word"]), bool))}
         w = c["word"]
         fresh = np.concatenate([[True], w[1:] != w[:-1]])
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(w)), 0))
@@ -133,7 +141,7 @@ def candidates(t: Fraction, most: int | None):
             k = before[i:j]
             x = np.repeat(np.arange(i, j), k)
             y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + start[x]
-            nx, ny = c["n"][x].astype(np.int64), c["n"][y].astype(np.int64)
+            nx, ny = c["n"][x], c["n"][y]
             need = -(-t.numerator * (nx + ny) // (t.numerator + t.denominator))
             ok = np.minimum(nx, ny) * t.denominator >= np.maximum(nx, ny) * t.numerator
             ok &= 1 + np.minimum(nx - c["place"][x] - 1, ny - c["place"][y] - 1) + np.minimum(c["place"][x], c["place"][y]) >= need
@@ -148,7 +156,7 @@ def candidates(t: Fraction, most: int | None):
                 x, y = x[nth < most], y[nth < most]
             else:
                 over = x[:0]
-            yield pa.record_batch({"x_doc": c["doc_id"][x], "x_line": c["line_no"][x], "x_h1": c["h1"][x], "x_h2": c["h2"][x], "y_doc": c["doc_id"][y], "y_line": c["line_no"][y], "more": np.isin(x, over)})
+            yield pa.record_batch({"x_doc": c["doc_id"][x], "x_line": c["line_no"][x], "y_doc": c["doc_id"][y], "y_line": c["line_no"][y], "more": np.isin(x, over)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -175,13 +183,20 @@ def compare(t: Fraction):
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
-                x, y = (array_of(pc.utf8_split_whitespace(pc.utf8_lower(part.column(c)))).to_pylist() for c in ("x_text", "y_text"))
-                keep = []
-                for p, q in zip(x, y):
-                    p, q = set(p) - {""}, set(q) - {""}
-                    both = len(p & q)
-                    keep.append(both * t.denominator >= (len(p) + len(q) - both) * t.numerator)
-                yield part.filter(pa.array(keep, pa.bool_())).select(["x_h1", "x_h2"])
+                both = pa.chunked_array([part.column("x_text"), part.column("y_text")]).combine_chunks()
+                offsets, codes, vocab = words(both)
+                key, h = distinct_words(offsets, codes), hashes(vocab)
+                start = np.searchsorted(key, np.arange(len(both) + 1, dtype=np.uint64) << np.uint64(32))
+                word, cut, keep = key & np.uint64(0xFFFFFFFF), start.tolist(), []
+                n = part.num_rows
+                for k in range(n):
+                    p, q = word[cut[k] : cut[k + 1]], word[cut[n + k] : cut[n + k + 1]]
+                    common = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(common * t.denominator >= (len(p) + len(q) - common) * t.numerator)
+                ok = np.array(keep, bool)
+                sets = np.flatnonzero(np.append(ok, np.zeros(n, bool)))
+                h1, h2 = (np.array([np.add.reduce(mix(h[word[cut[k] : cut[k + 1]].astype(np.int64)], s)) for k in sets], np.uint64) for s in (1, 2))
+                yield pa.record_batch({"x_doc": part.column("x_doc").filter(pa.array(ok)), "x_line": part.column("x_line").filter(pa.array(ok)), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64))})
 
     return run
 
@@ -191,40 +206,55 @@ def texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
     wanted = need.distinct().groupBy("d").agg(F.collect_set("l").alias("ls"))
     both = docs.join(wanted, F.col("doc_id") == F.col("d"))
     lines = F.split("text", "\n")
-    return both.select("d", F.explode(F.transform("ls", lambda i: F.struct(i.alias("l"), F.get(lines, i).alias("line")))).alias("s")).select("d", "s.l", "s.line").dropDuplicates(["d", "l"])
+    return both.select("d", F.explode(F.transform("ls", lambda i: F.struct(i.alias("l"), F.get(lines, i).alias("line")))).alias("s")).select("d", "s.l", "s.line").where("line is not null")
 
 
-def settled(docs: DataFrame, found: DataFrame, t: Fraction) -> DataFrame:
-    """Hashes (x_h1, x_h2) of the sets that an earlier line matches."""
-    sides = found.select("x_doc", "x_line", "x_h1", "x_h2", "y_doc", "y_line").distinct()
-    need = found.select(F.col("x_doc").alias("d"), F.col("x_line").alias("l")).union(found.select("y_doc", "y_line"))
-    lines = stored(texts_of(docs, need), "line-texts")
+def settled(lines: DataFrame, sides: DataFrame, t: Fraction) -> DataFrame:
+    """(x_doc, x_line, h1, h2): of sides(x_doc, x_line, y_doc, y_line), the lines x that match y, with their sets' hashes."""
     x = lines.select(F.col("d").alias("x_doc"), F.col("l").alias("x_line"), F.col("line").alias("x_text"))
     y = lines.select(F.col("d").alias("y_doc"), F.col("l").alias("y_line"), F.col("line").alias("y_text"))
     both = sides.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
-    return both.select("x_h1", "x_h2", "x_text", "y_text").mapInArrow(compare(t), "x_h1 long, x_h2 long").distinct()
+    return both.select("x_doc", "x_line", "x_text", "y_text").mapInArrow(compare(t), "x_doc long, x_line int, h1 long, h2 long").distinct()
+
+
+def near_lines(docs: DataFrame, postings: DataFrame, t: Fraction) -> DataFrame:
+    """(h1, h2) of the sets that an earlier line matches without being the same set."""
+    pair, x = ["x_doc", "x_line", "y_doc", "y_line"], ["x_doc", "x_line"]
+
+    def paired(wanted: DataFrame, most: int | None) -> DataFrame:
+        return stored(wanted.repartition("word").sortWithinPartitions("word", "doc_id", "at").mapInArrow(candidates(t, most), CANDIDATE_ROWS).groupBy(*pair).agg(F.max("more").alias("more")), "line-pairs")
+
+    def compared(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        need = found.select(F.col("x_doc").alias("d"), F.col("x_line").alias("l")).union(found.select("y_doc", "y_line"))
+        lines = stored(texts_of(docs, need), "line-texts")
+        first = found.groupBy(*x).agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select(*x, "y.y_doc", "y.y_line")
+        near = stored(settled(lines, first, t), "line-matches")
+        rest = found.select(*pair).join(near, x, "left_anti").join(first, pair, "left_anti")
+        return near, stored(settled(lines, rest, t), "line-matches")
+
+    found = paired(postings, CANDIDATES)
+    near = compared(found)
+    left = stored(found.where("more").select(*x).distinct().join(near[0].union(near[1]), x, "left_anti"), "lines-left")
+    if not left.isEmpty():
+        marked = postings.join(left.withColumn("wanted", F.lit(True)), (F.col("doc_id") == F.col("x_doc")) & (F.shiftright("at", 32) == F.col("x_line")), "left").select(*POSTING, F.coalesce("wanted", F.lit(False)).alias("wanted"))
+        near += compared(paired(marked, None))
+    out = near[0]
+    for more in near[1:]:
+        out = out.union(more)
+    return out.select("h1", "h2").distinct()
 
 
 def duplicate_lines(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Lines of docs(doc_id, text) that an earlier line matches: (doc_id, line_no from 0)."""
-    spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = stored(docs.mapInArrow(line_rows(word_order(docs), threshold), LINE_ROWS), "lines")
-    postings = rows.select("doc_id", "line_no", "h1", "h2", "n", "bits", F.posexplode("prefix").alias("place", "word"))
-
-    def paired(wanted: DataFrame, most: int | None) -> DataFrame:
-        return wanted.repartition("word").sortWithinPartitions("word", "doc_id", "line_no").mapInArrow(candidates(threshold, most), CANDIDATE_ROWS)
-
-    found = stored(paired(postings.withColumn("wanted", F.lit(True)), CANDIDATES), "line-pairs")
-    near = stored(settled(docs, found, threshold), "line-matches")
-    left = stored(found.where("more").select("x_h1", "x_h2").distinct().join(near, ["x_h1", "x_h2"], "left_anti"), "lines-left")
-    if not left.isEmpty():
-        marked = postings.join(left.withColumn("wanted", F.lit(True)), (F.col("h1") == F.col("x_h1")) & (F.col("h2") == F.col("x_h2")), "left").drop("x_h1", "x_h2").fillna(False, ["wanted"])
-        near = near.union(settled(docs, stored(paired(marked, None), "line-pairs"), threshold)).distinct()
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    sets = first.join(near.withColumn("near", F.lit(True)), (F.col("h1") == F.col("x_h1")) & (F.col("h2") == F.col("x_h2")), "left").select("h1", "h2", "first", "near")
-    gone = rows.select("doc_id", "line_no", "h1", "h2").join(sets, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "line_no") > F.col("first")))
-    return gone.select("doc_id", "line_no").distinct()
+    of = F.shiftleft("h1", 32).bitwiseOR(F.col("n").cast("long"))
+    at = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    postings = rows.select("doc_id", "line_no", of.alias("of"), "bits", F.posexplode("prefix").alias("place", "word")).select("word", "doc_id", at.alias("at"), "of", "bits")
+    near = near_lines(docs, postings, threshold).withColumn("near", F.lit(True))
+    line = F.struct("doc_id", "line_no")
+    sets = rows.select("h1", "h2", "doc_id", "line_no").withColumn("first", F.min(line).over(Window.partitionBy("h1", "h2")))
+    return sets.join(near, ["h1", "h2"], "left").where(F.col("near") | (line > F.col("first"))).select("doc_id", "line_no").distinct()
 
 
 def without_duplicate_lines(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:

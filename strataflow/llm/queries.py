@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import bpe, line_dedup, near_dedup, token_blocks, toxicity
+from strataflow.llm import bpe, decontaminate, fingerprints, licenses, line_dedup, near_dedup, token_blocks, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +33,29 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_equals(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_token_blocks": op4_token_blocks,
     "op5_near_dedup": op5_near_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_licenses": op10_licenses,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op9_fingerprints": fingerprints.SQL,
 }
