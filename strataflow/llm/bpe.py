@@ -14,12 +14,14 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,15 +122,21 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(shared) -> Encoder:
-    """One per worker and vocabulary; shared is the broadcast ranks."""
-    if shared.id not in _ENCODERS:
+def vocabulary(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
+    """The ranks, read on the driver and sent to each executor once (some 50,000 tokens, whatever the texts)."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(load(path))
+
+
+def encoder(shared: tuple[str, Broadcast]) -> Encoder:
+    """One per worker and vocabulary."""
+    key, ranks = shared
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[shared.id] = Encoder(shared.value)
-    return _ENCODERS[shared.id]
+        _ENCODERS[key] = Encoder(ranks.value)
+    return _ENCODERS[key]
 
 
 def id_lists(texts: list[str | None], enc: Encoder) -> tuple[np.ndarray, np.ndarray]:
@@ -162,13 +170,13 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """docs with tokens and n_tokens."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("tokens", "n_tokens")])
     schema = T.StructType([*docs.schema.fields, *TOKENS])
-    return docs.mapInArrow(encoding(docs.sparkSession.sparkContext.broadcast(load(path)), False), schema)
+    return docs.mapInArrow(encoding(vocabulary(docs.sparkSession, path), False), schema)
 
 
 def round_trips(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, tokens, exact): exact says whether the ids decode to the text itself."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(encoding(docs.sparkSession.sparkContext.broadcast(load(path)), True), "doc_id long, n_tokens long, tokens array<int>, exact boolean")
+    return docs.mapInArrow(encoding(vocabulary(docs.sparkSession, path), True), "doc_id long, n_tokens long, tokens array<int>, exact boolean")
 
 
 def decoding(shared):
@@ -182,4 +190,4 @@ def decoding(shared):
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of tokens(doc_id, tokens)."""
-    return tokens.select("doc_id", "tokens").mapInArrow(decoding(tokens.sparkSession.sparkContext.broadcast(load(path))), "doc_id long, text string")
+    return tokens.select("doc_id", "tokens").mapInArrow(decoding(vocabulary(tokens.sparkSession, path)), "doc_id long, text string")

@@ -117,7 +117,7 @@ def writing(shared):
 def token_blocks(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_tokens, block_starts, payload)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(writing(docs.sparkSession.sparkContext.broadcast(bpe.load(path))), "doc_id long, n_tokens long, block_starts array<int>, payload binary")
+    return docs.mapInArrow(writing(bpe.vocabulary(docs.sparkSession, path)), "doc_id long, n_tokens long, block_starts array<int>, payload binary")
 
 
 def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
