@@ -204,7 +204,7 @@ def compare(t: Fraction):
 def texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
     """(d, l, line) of the lines in need(d, l)."""
     wanted = need.distinct().groupBy("d").agg(F.collect_set("l").alias("ls"))
-    both = docs.join(wanted, F.col("doc_id") == F.col("d"))
+    both = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("d"))  # these grow with the corpus: never broadcast
     lines = F.split("text", "\n")
     return both.select("d", F.explode(F.transform("ls", lambda i: F.struct(i.alias("l"), F.get(lines, i).alias("line")))).alias("s")).select("d", "s.l", "s.line").where("line is not null")
 

@@ -163,7 +163,8 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     lone = sketches.join(heads, (sketches["k1"] == heads["k1"]) & (sketches["k2"] == heads["k2"]) & (F.col("doc_id") == F.col("head"))).select("doc_id", sketches["k1"], sketches["k2"], "n", "regs", "bands").dropDuplicates(["doc_id", "k1", "k2"])
     pairs = stored(candidate_pairs(lone).where(F.col("est") >= threshold - MARGIN), "near-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "text"]), "near-texts")
+    # ids grow with the corpus: never broadcast
+    texts = stored(docs.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "text"]), "near-texts")
 
     def verified(these: DataFrame) -> DataFrame:
         both = these.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
