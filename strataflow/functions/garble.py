@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataflow.functions.languages import BLOCK_OF_PACK
 from strataflow.functions.text import SPACES, letters
@@ -50,7 +51,7 @@ SPLICED = f"(?<={INDIC_CHAR}){_NEVER}|{_NEVER}(?={INDIC_CHAR})|(?<={INDIC_CHAR})
 HIGH = r"[^\x{0}-\x{2FF}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

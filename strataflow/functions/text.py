@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Unicode white space and the four separators U+001C to U+001F.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 #: All ends of lines, not only the line feed.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 SENTENCE_END = r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"
 BULLETED = r"(?s)^(?:[•\-*·‣◦–]|\d$|\d[.)]|\p{L}[.)].)"
 BREADCRUMB, PATH, UNIT = " › ", " / ", "\u001f"
