@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataflow.functions.languages import BLOCK_OF_PACK
-from strataflow.functions.text import SPACES, letters
+from strataflow.functions.text import SPACES, count_of, let, letters
 
 #: Parts of names of fonts that map glyphs of a script to Latin code points, and the script's OCR pack, in order of precedence.
 FONTS = [(part, pack) for pack, parts in (
@@ -80,7 +80,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def latin1_ratio(text: Column) -> Column:
-    return ratio(F.regexp_count(text, F.lit(r"[\p{L}&&[\x{C0}-\x{24F}]]")), letters(text))
+    return ratio(count_of(text, r"[\p{L}&&[\x{C0}-\x{24F}]]"), letters(text))
 
 
 def latin1(text: Column) -> Column:
@@ -90,15 +90,17 @@ def latin1(text: Column) -> Column:
 
 def ascii_glyphs(text: Column) -> Column:
     """ASCII letters that don't make Latin words: few vowels, and semicolons within words or many words without a vowel."""
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    ascii_ = count("[A-Za-z]")
+    count = lambda p: count_of(text, p)
     words = F.filter(F.split(text, SPACES), lambda w: w.rlike("[A-Za-z]"))
-    n = F.size(words)
     spiked = F.size(F.filter(words, lambda w: w.rlike("[A-Za-z][;:][A-Za-z]")))
-    bare = F.size(F.filter(words, lambda w: (letters(w) >= 2) & ~w.rlike("[aeiouAEIOU]")))
-    digits, alnum = count(r"(?U)\d"), count(r"[\p{L}\p{N}]")
-    prose = (ratio(bare, n) >= 0.4) & (ratio(digits, alnum) < 0.1) & (ratio(count("[A-Z]"), ascii_) < 0.3)
-    return F.coalesce((ratio(ascii_, letters(text)) >= 0.85) & (n >= 8) & (ratio(count("[aeiouAEIOU]"), ascii_) < 0.35) & ((ratio(spiked, n) >= 0.15) | prose), F.lit(False))
+    bare = F.size(F.filter(words, lambda w: ~w.rlike("[aeiouAEIOU]") & (letters(w) >= 2)))
+    all_ = {"ascii": count("[A-Za-z]"), "letters": letters(text), "vowels": count("[aeiouAEIOU]"), "upper": count("[A-Z]"), "digits": count(r"(?U)\d"), "alnum": count(r"[\p{L}\p{N}]"), "n": F.size(words), "spiked": spiked, "bare": bare}
+
+    def judge(c: Column) -> Column:
+        prose = (ratio(c["bare"], c["n"]) >= 0.4) & (ratio(c["digits"], c["alnum"]) < 0.1) & (ratio(c["upper"], c["ascii"]) < 0.3)
+        return (ratio(c["ascii"], c["letters"]) >= 0.85) & (c["n"] >= 8) & (ratio(c["vowels"], c["ascii"]) < 0.35) & ((ratio(c["spiked"], c["n"]) >= 0.15) | prose)
+
+    return F.coalesce(let(F.struct(*[v.alias(k) for k, v in all_.items()]), judge), F.lit(False))
 
 
 def counts(nfc: Column) -> Column:
@@ -110,8 +112,8 @@ def counts(nfc: Column) -> Column:
         F.when(suspicious, F.size(F.filter(words, lambda w: w.rlike(SPLICED)))).otherwise(0).alias("spliced"),
         F.size(words).alias("words"),
         letters(nfc).alias("letters"),
-        F.regexp_count(nfc, F.lit(r"\p{Co}")).alias("pua"),
-        F.regexp_count(nfc, F.lit(r"\x{FFFD}")).alias("fffd"),
+        count_of(nfc, r"\p{Co}").alias("pua"),
+        count_of(nfc, r"\x{FFFD}").alias("fffd"),
     )
 
 
@@ -147,12 +149,17 @@ def signals(df: DataFrame, column: str = "text", fonts: str | None = None) -> Da
 def script_ratio(text: Column, pack: str) -> Column:
     """Letters of the pack's block, as a share of all letters; 0 for packs without a block."""
     block = BLOCK_OF_PACK.get(pack)
-    return ratio(F.regexp_count(text, F.lit(rf"[\p{{L}}&&{block}]")), letters(text)) if block else F.lit(0.0)
+    return ratio(count_of(text, rf"[\p{{L}}&&{block}]"), letters(text)) if block else F.lit(0.0)
 
 
 def best_script(text: Column, packs: Column) -> Column:
     """struct(ratio, pack) of the pack with the highest ratio; the first of equals."""
-    scored = F.create_map(*[x for p in BLOCK_OF_PACK for x in (F.lit(p), script_ratio(text, p))])
-    rows = F.transform(packs, lambda p, i: F.struct(F.coalesce(F.try_element_at(scored, p), F.lit(0.0)).alias("ratio"), (-i).alias("k"), p.alias("pack")))
-    best = F.array_max(rows)
-    return F.struct(F.coalesce(best["ratio"], F.lit(0.0)).alias("ratio"), best["pack"].alias("pack"))
+
+    def scored(pack: Column) -> Column:
+        out = F.lit(0.0)
+        for p in BLOCK_OF_PACK:
+            out = F.when(pack == p, script_ratio(text, p)).otherwise(out)
+        return out
+
+    rows = F.transform(packs, lambda p, i: F.struct(scored(p).alias("ratio"), (-i).alias("k"), p.alias("pack")))
+    return let(F.array_max(rows), lambda b: F.struct(F.coalesce(b["ratio"], F.lit(0.0)).alias("ratio"), b["pack"].alias("pack")))

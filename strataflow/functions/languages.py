@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strataflow.functions.text import count_of
+
 
 class Language(NamedTuple):
     iso: str
@@ -60,11 +62,11 @@ def display_name(iso: Column) -> Column:
 
 
 def _most(text: Column, latin: bool, pool: list[str]) -> Column:
-    counts = {c: F.regexp_count(text, F.lit(c)) for c in {BY_ISO[i].characters for i in pool} if c}
-    rows = [(F.regexp_count(text, F.lit("[A-Za-z]")), 0, "en")] if latin else []
+    counts = {c: count_of(text, c) for c in {BY_ISO[i].characters for i in pool} if c}
+    rows = [(count_of(text, "[A-Za-z]"), 0, "en")] if latin else []
     rows += [(counts[BY_ISO[i].characters], k, i) for k, i in enumerate(pool, 1) if BY_ISO[i].characters]
-    best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(i).alias("iso")) for n, k, i in rows]))
-    return F.when(best["n"] > 0, best["iso"])
+    found = F.array(*[F.when(n > 0, F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(i).alias("iso"))) for n, k, i in rows])
+    return F.array_max(found)["iso"]
 
 
 def of_text(text: Column, pool: list[str] | None = None) -> Column:

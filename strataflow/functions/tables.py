@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import collapse, strip, tokens
+from strataflow.functions.text import collapse, let, strip, tokens
 
 
 def clean_cell(cell: Column) -> Column:
@@ -46,7 +46,10 @@ def is_real(headers: Column, rows: Column) -> Column:
 
 def markdown(headers: Column, rows: Column, max_rows: Column | None = None) -> Column:
     """A Markdown table; rows beyond max_rows become one of ellipses."""
-    cols = n_cols(headers, rows)
+    return let(n_cols(headers, rows), lambda cols: _markdown(headers, rows, cols, max_rows))
+
+
+def _markdown(headers: Column, rows: Column, cols: Column, max_rows: Column | None) -> Column:
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
     padded = lambda r: F.slice(F.concat(F.transform(r, clean_cell), F.array_repeat(F.lit(""), F.greatest(F.lit(0), cols - F.size(r)))), F.lit(1), cols)
     numbered = F.transform(F.sequence(F.lit(1), F.greatest(cols, F.lit(1))), lambda i: F.concat(F.lit("col_"), i.cast("string")))
@@ -60,7 +63,10 @@ def markdown(headers: Column, rows: Column, max_rows: Column | None = None) -> C
 
 def rows_per_group(headers: Column, rows: Column, budget: int) -> Column:
     """Rows that fit the budget beside a repeated header; all of them if the table fits, or has one row."""
-    full, head = tokens(markdown(headers, rows)), F.greatest(F.lit(1), tokens(markdown(headers, rows, F.lit(0))))
-    each = F.greatest(F.lit(1), F.floor((full - head) / F.greatest(F.lit(1), F.size(rows))))
-    split = F.greatest(F.lit(1), F.floor((F.lit(budget) - head) / each))
-    return F.when((full <= budget) | (F.size(rows) <= 1), F.greatest(F.lit(1), F.size(rows))).otherwise(split).cast("int")
+    sizes = F.struct(tokens(markdown(headers, rows)).alias("full"), F.greatest(F.lit(1), tokens(markdown(headers, rows, F.lit(0)))).alias("head"), F.greatest(F.lit(1), F.size(rows)).alias("n"))
+
+    def split(s: Column) -> Column:
+        each = F.greatest(F.lit(1), F.floor((s["full"] - s["head"]) / s["n"]))
+        return F.when((s["full"] <= budget) | (s["n"] <= 1), s["n"]).otherwise(F.greatest(F.lit(1), F.floor((F.lit(budget) - s["head"]) / each))).cast("int")
+
+    return let(sizes, split)

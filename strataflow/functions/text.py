@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ BULLETED = r"(?s)^(?:[•\-*·‣◦–]|\d$|\d[.)]|\p{L}[.)].)"
 BREADCRUMB, PATH, UNIT = " › ", " / ", "\u001f"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Four characters to a token, rounded down, one at least; nothing has none."""
     n = F.coalesce(F.length(text), F.lit(0))
@@ -66,15 +73,20 @@ def is_list_item(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+", "").rlike(BULLETED)
 
 
+def count_of(text: Column, kind: str) -> Column:
+    """Characters of a class: by what is left without its runs, as regexp_count() would build an array of every one."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
 def letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{L}"))
+    return count_of(text, r"\p{L}")
 
 
 def plausible(text: Column) -> Column:
     """Recognised text that reads as words: 12 characters, three words of three letters, mostly letters and blanks."""
     s = strip(F.coalesce(text, F.lit("")))
     words = F.size(F.filter(F.split(s, SPACES), lambda w: letters(w) >= 3))
-    share = F.regexp_count(s, F.lit(r"(?U)[\p{L}\s\x1c-\x1f]")) / F.greatest(F.lit(1), F.length(s))
+    share = count_of(s, r"(?U)[\p{L}\s\x1c-\x1f]") / F.greatest(F.lit(1), F.length(s))
     return (F.length(s) >= 12) & (words >= 3) & (share >= 0.55)
 
 

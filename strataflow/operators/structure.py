@@ -128,39 +128,52 @@ def packed(elements: list[dict[str, Any]], name: str, budget: int, overlap: int)
     yield from emit()
 
 
-PIECE = f"source string, filename string, doc_type string, slot int, path array<string>, body string, pages array<int>, tbl {TABLE}"
-
+def joined(pieces: Iterator[dict[str, Any]], least: int, budget: int) -> list[dict[str, Any]]:
+    """Pieces with their texts; prose of under `least` tokens joins the one before, of the same section, up to one and a half budgets. `slots` counts what each holds."""
+    out: list[dict[str, Any]] = []
+    for p in pieces:
+        crumb = X.BREADCRUMB.join(p["path"])
+        text = None if p["table"] is not None else f"{crumb}\n\n{p['body']}" if crumb else p["body"]
+        last = out[-1] if out else None
+        if last and text is not None and last["text"] is not None and last["path"] == p["path"] and count(text) < least and count(last["text"]) + count(text) <= int(budget * 1.5):
+            last["text"] += "\n" + text.split(_FIRST_BLANK, 1)[-1]
+            last["pages"] = sorted({*last["pages"], *p["pages"]})
+            last["slots"] += 1
+        else:
+            out.append({"path": p["path"], "text": text, "pages": p["pages"], "tbl": p["table"], "slots": 1})
+    return out
+
+
+PIECES = f"source string, filename string, doc_type string, pieces array<struct<path:array<string>,text:string,pages:array<int>,tbl:{TABLE},slots:int>>"
+
+
+def pieces(docs: DataFrame, budget: int, overlap: int, least: int) -> DataFrame:
+    """The packing and merging, which are folds over each document's elements: Arrow batches, a row a document, without a shuffle."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-def pieces(docs: DataFrame, budget: int, overlap: int) -> DataFrame:
-    """The packing, which is a fold over each document's elements: Arrow batches, without a shuffle."""
+    kind = _parse_datatype_string(PIECES)
+    schema = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_json_string
-
-        schema = to_arrow_schema(_parse_datatype_json_string(kinds))
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                out = []
-                for r in b.slice(i, 256).to_pylist():
-                    for slot, p in enumerate(packed(r["elements"] or [], r["filename"] or "", budget, overlap)):
-                        out.append({"source": r["source"], "filename": r["filename"], "doc_type": r["doc_type"], "slot": slot, "path": p["path"], "body": p["body"], "pages": p["pages"], "tbl": p["table"]})
+                rows = b.slice(i, 256).to_pylist()
+                out = [{k: r[k] for k in ("source", "filename", "doc_type")} | {"pieces": joined(packed(r["elements"] or [], r["filename"] or "", budget, overlap), least, budget)} for r in rows]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    from pyspark.sql.types import _parse_datatype_string
-
-    kind = _parse_datatype_string(PIECE)
-    kinds = kind.json()
     return docs.select("source", "filename", "doc_type", "elements").mapInArrow(run, kind)
 
 
 def table_parts(tbl: Column, budget: int) -> Column:
     """array<struct(part, tbl)>: one without a part if it fits; else row groups from 1, each with the header."""
-    headers, rows = tbl["headers"], tbl["rows"]
-    each = tables.rows_per_group(headers, rows, budget)
-    groups = F.ceil(F.size(rows) / each).cast("int")
-    part = lambda k: F.struct(F.when(groups > 1, k).cast("int").alias("part"), F.struct(headers.alias("headers"), F.slice(rows, (k - 1) * each + 1, each).alias("rows")).alias("tbl"))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), groups)), part)
+
+    def parts(each: Column) -> Column:
+        groups = F.greatest(F.lit(1), F.ceil(F.size(tbl["rows"]) / each).cast("int"))
+        part = lambda k: F.struct(F.when(groups > 1, k).cast("int").alias("part"), F.struct(tbl["headers"].alias("headers"), F.slice(tbl["rows"], (k - 1) * each + 1, each).alias("rows")).alias("tbl"))
+        return F.transform(F.sequence(F.lit(1), groups), part)
+
+    return X.let(tables.rows_per_group(tbl["headers"], tbl["rows"], budget), parts)
 
 
 def table_text(path: Column, tbl: Column, part: Column) -> Column:
@@ -170,32 +183,30 @@ def table_text(path: Column, tbl: Column, part: Column) -> Column:
 
 
 def chunks(docs: DataFrame, budget: int = CHUNK_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS, declared: list[str] | None = None) -> DataFrame:
-    """docs(source, filename, doc_type, elements) to chunk records; see merged() for `least`."""
+    """docs(source, filename, doc_type, elements) to chunk records, without a shuffle; see joined() for `least`."""
     if budget < 1 or overlap < 0 or least < 0:
         raise ValueError("budgets of tokens can't be negative, and a chunk's must be 1 or more")
-    out = pieces(docs, budget, overlap)
     none = F.array(F.struct(F.lit(None).cast("int").alias("part"), F.lit(None).cast(TABLE).alias("tbl")))
-    out = out.withColumn("parts", F.when(F.col("tbl").isNull(), none).otherwise(table_parts(F.col("tbl"), budget)))
-    # a document's pieces are neighbours in one partition; the window only numbers them
-    out = out.withColumn("n", F.size("parts")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = out.select("source", "filename", "doc_type", "path", "body", "pages", "before", F.posexplode("parts").alias("k", "p"))
+    split = F.transform("pieces", lambda p: F.struct(p["path"].alias("path"), p["text"].alias("text"), p["pages"].alias("pages"), p["slots"].alias("slots"), F.when(p["tbl"].isNull(), none).otherwise(table_parts(p["tbl"], budget)).alias("parts")))
+    out = pieces(docs, budget, overlap, least).withColumn("pieces", split)
+    out = out.withColumn("taken", F.transform("pieces", lambda p: p["slots"] + F.size(p["parts"]) - 1)).select("source", "filename", "doc_type", "taken", F.posexplode("pieces").alias("slot", "piece"))
+    out = out.withColumn("before", F.aggregate(F.slice("taken", F.lit(1), F.col("slot")), F.lit(0), lambda a, n: a + n))
+    out = out.select("source", "filename", "doc_type", "piece.path", F.col("piece.text").alias("body"), "piece.pages", "before", F.posexplode("piece.parts").alias("k", "p"))
     ordinal, is_table, tbl = (F.col("before") + F.col("k")).cast("int"), F.col("p.tbl").isNotNull(), F.col("p.tbl")
     path_id = F.array_join("path", X.PATH)
     shape = F.when(is_table, F.array(F.size(tbl["rows"]), tables.n_cols(tbl["headers"], tbl["rows"])))
     out = out.select(
         X.stable_id(F.col("source"), F.when(is_table, F.concat(path_id, F.lit("::table#"), ordinal.cast("string"))).otherwise(path_id), ordinal).alias("chunk_id"),
-        F.when(is_table, table_text(F.col("path"), tbl, F.col("p.part"))).otherwise(X.chunk_text(F.col("path"), F.col("body"))).alias("text"),
+        F.when(is_table, table_text(F.col("path"), tbl, F.col("p.part"))).otherwise(F.col("body")).alias("text"),
         "source", "doc_type", F.when(is_table, "table").otherwise("structure").alias("strategy"), ordinal.alias("ordinal"),
         F.col("path").alias("section_path"), F.coalesce(F.element_at(F.when(F.size("path") > 0, F.col("path")), -1), F.lit("")).alias("heading"), F.array_min("pages").alias("page"), "pages", "filename",
         F.when(is_table, True).alias("is_table"), shape.alias("table_shape"), F.when(is_table, F.size(tbl["rows"]) < 2).alias("low_rows"),
     )
-    if least:
-        out = merged(out, least, budget)
     return out.withColumn("language", languages.tag(F.col("text"), declared or list(languages.BY_ISO)))
 
 
 def merged(records: DataFrame, least: int = MIN_TOKENS, budget: int = CHUNK_TOKENS) -> DataFrame:
-    """Prose chunks of under `least` tokens join the one before, of the same section, up to one and a half budgets.
+    """The merging of joined(), over a table of chunk records.
 
     A fold over each source's chunks, which are few and already lie together; ids and ordinals stay, so numbers may be missing.
     """
