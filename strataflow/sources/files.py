@@ -66,9 +66,9 @@ class _Reader(DataSourceReader):
         if (paths := self.options.get("paths")) is not None:
             found = paths.split("\n") if paths else []
         else:
-            found = listed(self.options["path"], self.options.get("skipUnderscored", "false").lower() == "true")
+            found = listed(self.options["path"], self.options.get("skipunderscored", "false").lower() == "true")
         rows = list(enumerate(found))
-        most = int(self.options.get("filesPerPartition", 64))
+        most = int(self.options.get("filesperpartition", 64))
         return [_Part(rows[i : i + most]) for i in range(0, len(rows), most)] or [_Part([])]
 
     def read(self, part: _Part) -> Iterator[tuple]:
@@ -97,7 +97,7 @@ class FolderSource(DataSource):
         return FILES
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
 def files(spark: SparkSession, root: str, skip_underscored: bool = False) -> DataFrame:
