@@ -11,7 +11,7 @@ from strataflow.operators import structure
 
 def text_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """(source, filename, text) of text files as they come in."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", files_per_batch).load(folder)
     path = F.regexp_replace("path", "^file:/*", "/")
     return found.select(path.alias("source"), F.element_at(F.split(path, "/"), -1).alias("filename"), F.decode("content", "UTF-8").alias("text"))
 
