@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines with a word that licence notices use. A block is compressed by zstandard alone and with each template as raw
-dictionary; templates rank by the bytes that they save. The best ones are then compared word by word: a winner must hold the template's words
-in order, but for a share of at most MISSING, and none of the words that tell licences apart (numbers, versions, clauses) may be missing or different. A run of which no template is
-confirmed is tried again line by line.
+A text is read as words, whatever its lines. Around each word that licence notices use (a cue), as many words as the template may take stand on either
+side in question: over line ends, comment marks and blank lines. Those are compared word by word: a winner must hold the cue and the template's words
+in order, but for a share of at most MISSING, and none of the words that tell licences apart (numbers, versions, clauses) may be missing or different. The
+winner's lines must be compressed better by zstandard with the template as raw dictionary than alone; of several winners the one with most words in common
+is taken. The cues near it are not tried again.
 
 Nulls: null texts and ids of null are scanned as empty and reported with a null id. Rows that repeat are reported each. Other columns don't matter.
 """
@@ -12,10 +13,10 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -23,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm._shared import slices
-from strataflow.llm.line_dedup import split_lines
 
-CUE = r"(?i)licen[cs]|copyright|\(c\)|©|all rights reserved|public domain|warrant|redistribut|permission|spdx|creative commons|cc0|\bcc[ -]by"
+CUE = r"(?i)licen[cs]|copyright|\(c\)|©|all\s+rights\s+reserved|public\s+domain|warrant|redistribut|permission|spdx|creative\s+commons|cc0|\bcc[\s-]+by"
 TEMPLATES: dict[str, str] = {
     "MIT-notice": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -49,72 +49,97 @@ TEMPLATES: dict[str, str] = {
 }
 #: Words by which licences of like wording differ.
 TELLING = re.compile(r"\d|^(?:by|nc|sa|nd|by-nc|by-sa|by-nd|by-nc-sa|by-nc-nd|lesser|affero|library|mit|apache|gnu|mozilla|cc0|not|all|rights|reserved)$")
-MISSING, TRIED = 0.2, 4
+MISSING = 0.2
+WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
 def wording(text: str) -> list[str]:
-    return re.findall(r"\w+(?:[.-]\w+)*", text.lower())
+    return WORD.findall(text.lower())
 
 
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.templates = templates
         self.words = {k: wording(t) for k, t in templates.items()}
+        self.reach = int(max((len(w) for w in self.words.values()), default=0) * (1 + MISSING)) + 2
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.given = {k: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, t in templates.items()}
-        self.best = lru_cache(50_000)(self._best)
-
-    def ranked(self, block: str) -> list[tuple[int, str]]:
-        """(bytes saved, template), most first."""
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((alone - len(c.compress(raw)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-
-    def differences(self, block: str, template: str) -> tuple[list[str], list[str], bool]:
-        """(template's words that are missing, the block's between its first and last shared word that are added, confirmed)."""
-        own, has = self.words[template], wording(block)
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.telling = {k: Counter(x for x in w if TELLING.search(x)) for k, w in self.words.items()}
+
+    def saved(self, text: str, template: str) -> int:
+        raw = text.encode()
+        return len(self.plain.compress(raw)) - len(self.given[template].compress(raw))
+
+    def differences(self, has: list[str], template: str) -> tuple[list[int], list[str], list[str], bool] | None:
+        """(places of has that the template shares, the template's words that are missing, those of has between its first and last shared word that are added,
+        confirmed), of the run of shared pieces with the fewest differences. None if too few words can be shared."""
+        own = self.words[template]
+        seen = Counter(has)
+        if any(seen[w] < n for w, n in self.telling[template].items()) or sum(min(n, seen[w]) for w, n in self.counts[template].items()) < (1 - MISSING) * len(own):
+            return None
         same = [m for m in difflib.SequenceMatcher(None, own, has, autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return own, [], False
-        kept = {i for m in same for i in range(m.a, m.a + m.size)}
-        used = {i for m in same for i in range(m.b, m.b + m.size)}
+        best = None
+        for i in range(len(same)):
+            size = 0
+            for j in range(i, len(same)):
+                size += same[j].size
+                cost = len(own) - size + same[j].b + same[j].size - same[i].b - size
+                if best is None or cost < best[0]:
+                    best = cost, same[i : j + 1]
+        kept = {i for m in best[1] for i in range(m.a, m.a + m.size)}
+        used = [i for m in best[1] for i in range(m.b, m.b + m.size)]
         missing = [w for i, w in enumerate(own) if i not in kept]
-        added = [has[i] for i in range(same[0].b, same[-1].b + same[-1].size) if i not in used]
+        added = [has[i] for i in sorted(set(range(used[0], used[-1] + 1)).difference(used))]
         telling = any(TELLING.search(w) for w in [*missing, *added])
-        return missing, added, not telling and len(missing) <= MISSING * len(own) and len(added) <= MISSING * len(own) + 2
-
-    def _best(self, block: str) -> tuple[str, int, list[str], list[str]] | None:
-        found = []
-        for saved, k in self.ranked(block)[:TRIED]:
-            if saved > 0:
-                missing, added, ok = self.differences(block, k)
-                if ok:
-                    found.append((len(missing) + len(added), -len(self.words[k]), -saved, k, missing, added))
-        if not found:
-            return None
-        _, _, saved, k, missing, added = min(found)
-        return k, -saved, missing, added
+        return used, missing, added, not telling and len(missing) <= MISSING * len(own) and len(added) <= MISSING * len(own) + 2
+
+    def at_cue(self, has: list[str], cue: int, template: str) -> tuple[list[int], list[str], list[str]] | None:
+        """The template's confirmed places around the word `cue`: like words beside it are cut off until they hold it, or too few are left."""
+        reach = int(len(self.words[template]) * (1 + MISSING)) + 2
+        lo, hi = max(0, cue - reach), min(len(has), cue + reach + 1)
+        while found := self.differences(has[lo:hi], template):
+            used, missing, added, ok = found
+            first, last = lo + used[0], lo + used[-1]
+            if first <= cue <= last:
+                return ([lo + i for i in used], missing, added) if ok else None
+            lo, hi = (last + 1, hi) if last < cue else (lo, first)
+        return None
+
+    def found(self, text: str) -> list[tuple[int, int, str, int, list[str], list[str]]]:
+        """(line, lines, template, bytes saved, missing, added) of all notices of a text."""
+        spans = [m.span() for m in WORD.finditer(text)]
+        ends, words_ = [e for _, e in spans], [text[s:e].lower() for s, e in spans]
+        breaks = [i for i, c in enumerate(text) if c == "\n"]
+        cues = sorted({c for m in re.finditer(CUE, text) if (c := bisect_right(ends, m.start())) < len(spans)})
+        done, out = -1, []
+        for cue in cues:
+            if cue > done:
+                lo = max(0, cue - self.reach)
+                near, winners = list(range(lo, min(len(spans), cue + self.reach + 1))), []
+                for k in self.templates:
+                    if won := self.at_cue([words_[i] for i in near], cue - lo, k):
+                        used, missing, added = won
+                        first, last = near[used[0]], near[used[-1]]
+                        line, end = bisect_right(breaks, spans[first][0]), bisect_right(breaks, spans[last][0])
+                        lines = text[breaks[line - 1] + 1 if line else 0 : breaks[end] if end < len(breaks) else len(text)]
+                        if (saved := self.saved(lines, k)) > 0:
+                            winners.append((2 * len(missing) + len(added) - len(self.words[k]), -saved, k, line, end - line + 1, missing, added, used))
+                if winners:
+                    _, saved, k, line, n, missing, added, used = min(winners)
+                    out.append((line, n, k, -saved, missing, added))
+                    done = near[-1]
+        return sorted(out)
 
 
 def scanning(templates: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates)
         for b in slices(batches, "text"):
-            lines, row, number = split_lines(pc.fill_null(b.column("text"), ""))
-            at = np.flatnonzero(np.asarray(pc.match_substring_regex(lines, CUE)))
-            out: list[tuple] = []
-            if len(at):
-                texts = dict(zip(at.tolist(), lines.take(pa.array(at)).to_pylist()))
-                fresh = np.concatenate([[True], (np.diff(at) > 1) | (row[at][1:] != row[at][:-1])])
-                for run_ in np.split(at, np.flatnonzero(fresh)[1:]):
-                    run_ = run_.tolist()
-                    blocks = [run_] if len(run_) == 1 or known.best("\n".join(texts[i] for i in run_)) else [[i] for i in run_]
-                    for lines_ in blocks:
-                        if won := known.best("\n".join(texts[i] for i in lines_)):
-                            out.append((int(row[lines_[0]]), int(number[lines_[0]]), len(lines_), *won))
-            ids = b.column("doc_id").to_pylist()
+            texts = pc.fill_null(b.column("text"), "")
+            ids = b.column("doc_id")
+            out = [(ids[r].as_py(), *x) for r in pc.indices_nonzero(pc.match_substring_regex(texts, CUE)).to_pylist() for x in known.found(texts[r].as_py())]
             columns = list(zip(*out)) or [[]] * 7
-            columns[0] = [ids[r] for r in columns[0]]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "line_no", "n_lines", "license", "bytes_saved", "missing", "added"])
 

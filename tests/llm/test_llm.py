@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from fractions import Fraction
 
 import numpy as np
@@ -216,6 +217,19 @@ def test_licenses(spark):
     assert got == {1: ("MIT-notice", 1), 2: ("GPL-2.0-notice", 0)}
 
 
+def test_licenses_wrapped_and_apart(spark):
+    rows = []
+    for k, text in licenses.TEMPLATES.items():
+        wrapped = textwrap.wrap(text, 80)
+        apart = re.sub(r"(?<=[.:;]) ", "\n\n", text)
+        rows += [("wrapped", k, "\n".join(wrapped), 2, len(wrapped)), ("commented", k, "\n".join(f" * {x}" for x in wrapped), 2, len(wrapped)), ("apart", k, apart, 2, apart.count("\n") + 1)]
+    docs = [(i, f"{say(20)}\n\n{text}\n\n{say(20)}") for i, (_, _, text, _, _) in enumerate(rows)]
+    got = {}
+    for x in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(x["doc_id"], []).append((x["license"], x["line_no"], x["n_lines"], len(x["missing"] + x["added"])))
+    assert got == {i: [(k, line, n, 0)] for i, (_, k, _, line, n) in enumerate(rows)}
+
+
 def test_gru_gradient_and_windows():
     text, start, length = toxicity.windows(np.array([0, 0, 1, 48, 49 + 48, 500]))
     covered = np.zeros(500, bool)
