@@ -4,7 +4,7 @@ A text is read as words, whatever its lines. Around each word that licence notic
 side in question: over line ends, comment marks and blank lines. Those are compared word by word: a winner must hold the cue and the template's words
 in order, but for a share of at most MISSING, and none of the words that tell licences apart (numbers, versions, clauses) may be missing or different. The
 winner's lines must be compressed better by zstandard with the template as raw dictionary than alone; of several winners the one with most words in common
-is taken. The cues near it are not tried again.
+is taken. Its words are then taken out, and what is left is scanned until no template is confirmed.
 
 Nulls: null texts and ids of null are scanned as empty and reported with a null id. Rows that repeat are reported each. Other columns don't matter.
 """
@@ -112,23 +112,28 @@ class Templates:
         ends, words_ = [e for _, e in spans], [text[s:e].lower() for s, e in spans]
         breaks = [i for i, c in enumerate(text) if c == "\n"]
         cues = sorted({c for m in re.finditer(CUE, text) if (c := bisect_right(ends, m.start())) < len(spans)})
-        done, out = -1, []
+        left, out = list(range(len(spans))), []  # the words that no notice has taken
         for cue in cues:
-            if cue > done:
-                lo = max(0, cue - self.reach)
-                near, winners = list(range(lo, min(len(spans), cue + self.reach + 1))), []
+            while True:
+                at = bisect_right(left, cue) - 1
+                if at < 0 or left[at] != cue:
+                    break
+                lo = max(0, at - self.reach)
+                near, winners = left[lo : at + self.reach + 1], []
                 for k in self.templates:
-                    if won := self.at_cue([words_[i] for i in near], cue - lo, k):
+                    if won := self.at_cue([words_[i] for i in near], at - lo, k):
                         used, missing, added = won
                         first, last = near[used[0]], near[used[-1]]
                         line, end = bisect_right(breaks, spans[first][0]), bisect_right(breaks, spans[last][0])
                         lines = text[breaks[line - 1] + 1 if line else 0 : breaks[end] if end < len(breaks) else len(text)]
                         if (saved := self.saved(lines, k)) > 0:
                             winners.append((2 * len(missing) + len(added) - len(self.words[k]), -saved, k, line, end - line + 1, missing, added, used))
-                if winners:
-                    _, saved, k, line, n, missing, added, used = min(winners)
-                    out.append((line, n, k, -saved, missing, added))
-                    done = near[-1]
+                if not winners:
+                    break
+                _, saved, k, line, n, missing, added, used = min(winners)
+                out.append((line, n, k, -saved, missing, added))
+                taken = {near[i] for i in used}
+                left = [*left[:lo], *(i for i in near if i not in taken), *left[at + self.reach + 1 :]]
         return sorted(out)
 
 

@@ -230,6 +230,16 @@ def test_licenses_wrapped_and_apart(spark):
     assert got == {i: [(k, line, n, 0)] for i, (_, k, _, line, n) in enumerate(rows)}
 
 
+def test_licenses_side_by_side(spark):
+    names = ["Apache-2.0-notice", "CC-BY-NC-4.0", "MIT", "GPL-2.0", "GPL-2.0-notice", "MIT-notice", "CC-BY-4.0", "MPL-2.0", "All-Rights-Reserved"]
+    text = "\n".join(licenses.TEMPLATES[k] for k in names)
+    rows = [(1, text), (2, text.replace("\n", " ")), (3, "\n".join([licenses.TEMPLATES["MIT-notice"]] * 3))]
+    got = {}
+    for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x["doc_id"], []).append((x["line_no"], x["license"]))
+    assert sorted(got[1]) == list(enumerate(names)) and sorted(k for _, k in got[2]) == sorted(names) and sorted(got[3]) == [(i, "MIT-notice") for i in range(3)]
+
+
 def test_gru_gradient_and_windows():
     text, start, length = toxicity.windows(np.array([0, 0, 1, 48, 49 + 48, 500]))
     covered = np.zeros(500, bool)
