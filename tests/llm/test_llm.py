@@ -171,6 +171,17 @@ def test_planted_passage_is_found(spark):
     assert got[0]["start_word"] <= 12 and got[0]["end_word"] >= 88 and got[0]["identity"] >= 0.95
 
 
+def test_passage_within_a_chain_that_fails(spark):
+    r = random.Random(11)
+    a = say(800, r).split()
+    phrases = [" ".join(a[at : at + 16]) for at in range(0, 720, 36)]  # of document 1, and too far apart for IDENTITY
+    b = f"{say(20, r)} {phrases[9]} {say(20, r)}"
+    text = " ".join(f"{say(20, r)} {p}" for p in phrases[:9]) + f" {b} " + " ".join(f"{p} {say(20, r)}" for p in phrases[10:])
+    rows = [(1, " ".join(a)), (2, f"{say(30, r)} {b} {say(30, r)}"), (3, text)]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(x["doc_id"], x["source_doc_id"], x["start_word"], x["end_word"], x["identity"]) for x in got] == [(3, 2, 324, 380, 1.0)]
+
+
 def test_fenwick_chain_against_brute_force():
     r = np.random.default_rng(4)
     for _ in range(30):
