@@ -94,11 +94,10 @@ def unpack(payload: bytes, starts: list[int]) -> list[int]:
 def writing(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(shared)
-        for b in slices(batches, "text"):
-            texts = b.column("text").to_pylist()
-            ids, offsets = bpe.id_lists(texts, enc)
+        for b in slices(batches, "text", bpe.SLICE):
+            ids, offsets, _ = enc.encode(b.column("text"))
             out, start, before = pack(ids, offsets)
-            null = np.array([t is None for t in texts])
+            null = np.asarray(b.column("text").is_null())
             own = np.append(start, len(out))[before]
             within = start - np.repeat(own[:-1], np.diff(before))
             payload = pa.Array.from_buffers(pa.binary(), b.num_rows, [pa.array(~null).buffers()[1], pa.py_buffer(own.astype(np.int32)), pa.py_buffer(out)])
