@@ -5,12 +5,14 @@ A line's set is its distinct words (lower case, split at ASCII white space). A l
 
 1. Word frequencies over all lines, summed by hash bucket (a table of fixed size), order the words by rarity; the hash
    breaks ties, so the order is total and the join exact, however coarse the buckets.
-2. Each line gives its rarest |s| - ceil(t|s|) + 1 words as prefix postings, with its place, its size and a 64-bit
-   parity bitmap. Two lines of the wanted similarity share a prefix word.
-3. Postings meet by word, sorted by line. The length, positional and bitmap filters (all of them free of false negatives)
-   leave candidates. Of each line and word, the first CANDIDATES go on; a line that these don't settle gets all of its candidates in a
-   second pass, so that groups of thousands of copies stay linear and none is missed.
-4. The candidates' words are compared exactly.
+2. Lines of one set are aggregated by a 128-bit hash to the first of them, in tasks before the shuffle; only that one can be the line that matches an earlier set's, as
+   the others follow a copy. So a line of thousands of copies, or of a third of all rows, has one row from here on.
+3. Each set gives its rarest |s| - ceil(t|s|) + 1 words as prefix postings, with its first line, its size and a 64-bit
+   parity bitmap. Two sets of the wanted similarity share a prefix word.
+4. Postings meet by word, sorted by line. The length, positional and bitmap filters (all of them free of false negatives)
+   leave candidates. Of each set and word, the first CANDIDATES go on; a set that these don't settle gets all of its candidates in a
+   second pass, so that groups of thousands of like lines stay linear and none is missed.
+5. The candidates' words are compared exactly.
 
 Nulls: rows whose doc_id or text is null take no part and stay as they are. Lines without words stay. Rows that share
 doc_id and line number are never earlier than one another, so repeated rows don't remove their own lines. Other columns are kept.
@@ -24,13 +26,13 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm._shared import array_of, emptied, hashes, mix, slices, stored, words
 
 THRESHOLD = Fraction(9, 10)
-BUCKETS, CHUNK = 1 << 20, 1 << 14
+BUCKETS = 1 << 20
 CANDIDATES = 16
 
 
@@ -49,34 +51,26 @@ def distinct_words(offsets: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = np.zeros(BUCKETS, np.int64), False
+    total = np.zeros(BUCKETS, np.int64)
     for b in slices(batches, "text"):
         _, codes, vocab = words(b.column("text"))
         at = (hashes(vocab) % np.uint64(BUCKETS)).astype(np.int64)
         np.add.at(total, at, np.bincount(codes, minlength=len(vocab)))
-        seen = True
-    if seen:
-        parts = total.reshape(-1, CHUNK)
-        yield pa.record_batch({"chunk": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+    some = np.flatnonzero(total)
+    for i in range(0, len(some), 1 << 16):
+        yield pa.record_batch({"bucket": pa.array(some[i : i + (1 << 16)].astype(np.int32)), "n": pa.array(total[some[i : i + (1 << 16)]])})
 
 
 def word_order(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words by hash bucket, over all lines of docs(text): BUCKETS numbers, whatever the size of docs."""
-
-    def add(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [np.sum([np.frombuffer(c, np.int64) for c in pdf["counts"]], axis=0).tobytes()]})
-
-    rows = docs.select("text").mapInArrow(word_counts, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
-    out = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
+    """Occurrences of words by hash bucket, over all lines of docs(text): BUCKETS numbers at most, whatever the size of docs."""
+    found = docs.select("text").mapInArrow(word_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def line_rows(counts: np.ndarray, t: Fraction):
-    """Batches of (doc_id, text) -> one row per line with words: its set's hashes and size and, once per set and slice, its prefix."""
+    """Batches of (doc_id, text) -> one row per line with words: its set's hashes and, once per set and slice, the set's size, bitmap and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -116,8 +110,8 @@ def line_rows(counts: np.ndarray, t: Fraction):
 
 
 LINE_ROWS = "doc_id long, line_no int, h1 long, h2 long, n int, bits long, prefix array<long>"
-#: Postings are five numbers: word, doc_id, line_no << 32 | place in the prefix, 32 bits of the set's hash << 32 | size, bitmap.
-POSTING = ["word", "doc_id", "at", "of", "bits"]
+#: Postings are five numbers: word, doc_id, line_no << 32 | place in the prefix, size of the set, bitmap.
+POSTING = ["word", "doc_id", "at", "n", "bits"]
 CANDIDATE_ROWS = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 
 
@@ -125,12 +119,7 @@ def candidates(t: Fraction, most: int | None):
     """Postings sorted by (word, doc_id, line_no) -> for each, the earlier ones that pass the filters (the first `most`)."""
 
     def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        same = np.lexsort((np.arange(len(c["word"])), c["of"], c["word"]))
-        w, h, bits = c["word"][same], c["of"][same], c["bits"][same]
-        keep = np.zeros(len(same), bool)
-        keep[same[np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (bits[1:] != bits[:-1])])]] = True
-        c = {k: v[keep] for k, v in c.items()}
-        c |= {"line_no": (c["at"] >> 32).astype(np.int32), "place": c["at"] & 0xFFFFFFFF, "n": c["of"] & 0xFFFFFFFF, "wanted": c.get("wanted", np.ones(len(c["word"]), bool))}
+        c |= {"line_no": (c["at"] >> 32).astype(np.int32), "place": c["at"] & 0xFFFFFFFF, "wanted": c.get("wanted", np.ones(len(c["word"]), bool))}
         w = c["word"]
         fresh = np.concatenate([[True], w[1:] != w[:-1]])
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(w)), 0))
@@ -184,8 +173,8 @@ def compare(t: Fraction):
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
                 both = pa.chunked_array([part.column("x_text"), part.column("y_text")]).combine_chunks()
-                offsets, codes, vocab = words(both)
-                key, h = distinct_words(offsets, codes), hashes(vocab)
+                offsets, codes, _ = words(both)
+                key = distinct_words(offsets, codes)
                 start = np.searchsorted(key, np.arange(len(both) + 1, dtype=np.uint64) << np.uint64(32))
                 word, cut, keep = key & np.uint64(0xFFFFFFFF), start.tolist(), []
                 n = part.num_rows
@@ -194,9 +183,7 @@ def compare(t: Fraction):
                     common = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(common * t.denominator >= (len(p) + len(q) - common) * t.numerator)
                 ok = np.array(keep, bool)
-                sets = np.flatnonzero(np.append(ok, np.zeros(n, bool)))
-                h1, h2 = (np.array([np.add.reduce(mix(h[word[cut[k] : cut[k + 1]].astype(np.int64)], s)) for k in sets], np.uint64) for s in (1, 2))
-                yield pa.record_batch({"x_doc": part.column("x_doc").filter(pa.array(ok)), "x_line": part.column("x_line").filter(pa.array(ok)), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64))})
+                yield part.select(["x_doc", "x_line"]).filter(pa.array(ok))
 
     return run
 
@@ -210,15 +197,15 @@ def texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def settled(lines: DataFrame, sides: DataFrame, t: Fraction) -> DataFrame:
-    """(x_doc, x_line, h1, h2): of sides(x_doc, x_line, y_doc, y_line), the lines x that match y, with their sets' hashes."""
+    """(x_doc, x_line): of sides(x_doc, x_line, y_doc, y_line), the lines x that match y."""
     x = lines.select(F.col("d").alias("x_doc"), F.col("l").alias("x_line"), F.col("line").alias("x_text"))
     y = lines.select(F.col("d").alias("y_doc"), F.col("l").alias("y_line"), F.col("line").alias("y_text"))
     both = sides.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
-    return both.select("x_doc", "x_line", "x_text", "y_text").mapInArrow(compare(t), "x_doc long, x_line int, h1 long, h2 long").distinct()
+    return both.select("x_doc", "x_line", "x_text", "y_text").mapInArrow(compare(t), "x_doc long, x_line int").distinct()
 
 
 def near_lines(docs: DataFrame, postings: DataFrame, t: Fraction) -> DataFrame:
-    """(h1, h2) of the sets that an earlier line matches without being the same set."""
+    """(doc_id, line_no) of the sets' first lines that an earlier line of another set matches."""
     pair, x = ["x_doc", "x_line", "y_doc", "y_line"], ["x_doc", "x_line"]
 
     def paired(wanted: DataFrame, most: int | None) -> DataFrame:
@@ -241,20 +228,23 @@ def near_lines(docs: DataFrame, postings: DataFrame, t: Fraction) -> DataFrame:
     out = near[0]
     for more in near[1:]:
         out = out.union(more)
-    return out.select("h1", "h2").distinct()
+    return out.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no"))
 
 
 def duplicate_lines(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Lines of docs(doc_id, text) that an earlier line matches: (doc_id, line_no from 0)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = stored(docs.mapInArrow(line_rows(word_order(docs), threshold), LINE_ROWS), "lines")
-    of = F.shiftleft("h1", 32).bitwiseOR(F.col("n").cast("long"))
+    sets = stored(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("prefix", "n", "bits")).alias("s"), F.count("*").alias("lines")).select("h1", "h2", "first.doc_id", "first.line_no", "s.*", "lines"), "line-sets")
     at = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
-    postings = rows.select("doc_id", "line_no", of.alias("of"), "bits", F.posexplode("prefix").alias("place", "word")).select("word", "doc_id", at.alias("at"), "of", "bits")
-    near = near_lines(docs, postings, threshold).withColumn("near", F.lit(True))
-    line = F.struct("doc_id", "line_no")
-    sets = rows.select("h1", "h2", "doc_id", "line_no").withColumn("first", F.min(line).over(Window.partitionBy("h1", "h2")))
-    return sets.join(near, ["h1", "h2"], "left").where(F.col("near") | (line > F.col("first"))).select("doc_id", "line_no").distinct()
+    postings = sets.select("doc_id", "line_no", "n", "bits", F.posexplode("prefix").alias("place", "word")).select("word", "doc_id", at.alias("at"), F.col("n").cast("long").alias("n"), "bits")
+    near = near_lines(docs, postings, threshold)
+    key = ["doc_id", "line_no"]
+    # the first line of a set goes if an earlier set matches it; the others follow a copy
+    first = near.select(*key).distinct()
+    again = sets.where("lines > 1").select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"))
+    more = rows.select("h1", "h2", *key).join(again, ["h1", "h2"]).where(F.struct(*key) > F.struct("first_doc", "first_line")).select(*key).distinct()
+    return first.union(more)
 
 
 def without_duplicate_lines(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
