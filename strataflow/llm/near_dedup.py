@@ -6,12 +6,13 @@ A document's set is its runs of three words (lower case, split at white space; a
    leading-zero count (6 bits) and the 10 bits after the leading one.
 2. Documents with equal shingles are collapsed to the one of least doc_id by a 128-bit hash.
 3. Registers, with the empty ones filled by optimal densification, form 32 bands of 4. In a band, all documents of a
-   bucket are paired with its least doc_id, so a bucket costs in proportion to its size.
+   bucket are paired with its least doc_id, so a bucket of copies costs in proportion to its size.
 4. Sketches estimate each pair's Jaccard similarity, corrected for expected register collisions; pairs that are more than
    0.13 (three standard deviations) below the threshold go.
-5. Texts verify the others: first the likeliest pair of each document, then all pairs that would join two different groups,
-   so that each surviving pair is either verified or within one group.
-6. Groups are the connected components; the least doc_id of each stays.
+5. Texts verify the others: first the likeliest pair of each document, then all pairs that would join two different groups.
+6. Buckets whose documents are in several groups by then are gone through again, the next HEADS documents (and four times as many in each round) with all
+   others that are in other groups, until each pair of each bucket is compared or within one group.
+7. Groups are the connected components; the least doc_id of each stays.
 
 Nulls: rows whose doc_id or text is null, and texts without words, take no part and stay. Rows that share a doc_id are one
 document, with all their texts; where they repeat doc_id and words, one of them stays. Other columns are kept.
@@ -30,7 +31,7 @@ from strataflow.llm._shared import emptied, hashes, mix, slices, stored, words
 from strataflow.llm.graph import components
 
 THRESHOLD, MARGIN = 0.6, 0.13
-SHINGLE, REGISTERS, BAND = 3, 128, 4
+SHINGLE, REGISTERS, BAND, HEADS = 3, 128, 4, 16
 MANTISSA, EMPTY = 10, 0xFFFF
 #: Expected collisions of registers of unrelated sets of like size, as a multiple of 2 ** -MANTISSA per register (Yu and Weber, HyperMinHash).
 COLLISIONS = 0.169919487159739
@@ -144,11 +145,15 @@ def verify(threshold: float):
     return run
 
 
-def candidate_pairs(sketches: DataFrame) -> DataFrame:
-    """(a, b, est) of pairs of representatives that share a band."""
-    near = Window.partitionBy("band").orderBy("doc_id")
-    buckets = sketches.select("doc_id", F.explode("bands").alias("band")).withColumn("a", F.first("doc_id").over(near))
-    pairs = buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+def shared_buckets(sketches: DataFrame) -> DataFrame:
+    """(band, doc_id, head) of the buckets of two documents and more; the head is the least doc_id."""
+    buckets = sketches.select("doc_id", F.explode("bands").alias("band"))
+    several = buckets.groupBy("band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").drop("last")
+    return buckets.join(several, "band").distinct()
+
+
+def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, est) of pairs(a, b)."""
     side = lambda k, r, n: sketches.select(F.col("doc_id").alias(k), F.col("regs").alias(r), F.col("n").alias(n))
     both = pairs.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b").select("a", "b", "x", "y", "nx", "ny")
     return both.mapInArrow(estimate, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
@@ -161,22 +166,43 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     heads = stored(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("head")), "heads")
     copies = sketches.select("doc_id", "k1", "k2").join(heads, ["k1", "k2"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     lone = sketches.join(heads, (sketches["k1"] == heads["k1"]) & (sketches["k2"] == heads["k2"]) & (F.col("doc_id") == F.col("head"))).select("doc_id", sketches["k1"], sketches["k2"], "n", "regs", "bands").dropDuplicates(["doc_id", "k1", "k2"])
-    pairs = stored(candidate_pairs(lone).where(F.col("est") >= threshold - MARGIN), "near-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    buckets = stored(shared_buckets(lone), "buckets")
+    some = buckets.select("doc_id").distinct()
+    lone = stored(lone.drop("bands").join(some.hint("merge"), "doc_id", "left_semi"), "near-sketches")
     # ids grow with the corpus: never broadcast
-    texts = stored(docs.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "text"]), "near-texts")
+    texts = stored(docs.join(some.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "near-texts")
 
     def verified(these: DataFrame) -> DataFrame:
         both = these.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
         return stored(both.select("a", "b", "x", "y").mapInArrow(verify(threshold), "a long, b long").distinct(), "near-verified")
 
-    likeliest = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("est"), "a"))).where("nth = 1").select("a", "b")
-    first = verified(likeliest)
-    roots = components(first)
-    of = lambda k, r: roots.select(F.col("node").alias(k), F.col("root").alias(r))
-    rest = pairs.join(likeliest, ["a", "b"], "left_anti").join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    more = verified(rest)
-    final = components(first.union(more).union(copies))
+    of = lambda roots, k, r: roots.select(F.col("node").alias(k), F.col("root").alias(r))
+
+    def joined(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """known(a, b) and those of pairs(a, b) that are near: of each b the likeliest first, then those that would join two groups."""
+        pairs = stored(estimated(pairs, lone).where(F.col("est") >= threshold - MARGIN), "near-pairs")
+        likeliest = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("est"), "a"))).where("nth = 1").select("a", "b")
+        first = verified(likeliest)
+        edges = first if known is None else known.union(first)
+        roots = components(edges)
+        rest = pairs.join(likeliest, ["a", "b"], "left_anti").join(of(roots, "a", "ra"), "a", "left").join(of(roots, "b", "rb"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+        return edges.union(verified(rest))
+
+    edges = joined(buckets.where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), None)
+    left, most = buckets.where("doc_id <> head").select("band", "doc_id"), HEADS
+    while True:
+        roots = components(edges)
+        left = left.join(of(roots, "doc_id", "root"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        mixed = left.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band")
+        left = stored(left.join(mixed.hint("merge"), "band", "left_semi"), "near-left")
+        if left.isEmpty():
+            break
+        nth = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
+        first = stored(left.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"), "near-heads")
+        pairs = first.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra")).join(left, "band").where("a < doc_id and ra <> root").select("a", F.col("doc_id").alias("b")).distinct()
+        edges = joined(pairs, edges)
+        left, most = left.join(first.select("band", "doc_id"), ["band", "doc_id"], "left_anti").select("band", "doc_id"), 4 * most
+    final = components(edges.union(copies))
     return final.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of")), sketches
 
 
