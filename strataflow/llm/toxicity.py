@@ -5,16 +5,23 @@ states an attention pools into a vector. That and a hashed word embedding are th
 windows of WINDOW words, one every STRIDE, so that windows overlap and each word of a text is in one at least. A second attention
 pools its states into the window's score. A document's score is its highest window's.
 
-Labels are of documents, so training is multiple-instance learning: of a toxic document only the window that scores highest counts as toxic; before that,
-a first epoch takes all of its windows. Fitting uses at most SAMPLE labelled documents of each class and WINDOWS windows of each (both
-chosen by hash); a quarter of them set the threshold. All texts are scored whole.
+Labels are of documents, so training is multiple-instance learning: of a toxic document only the window that scores highest, of all of its windows, counts as
+toxic. Before there are scores, a first epoch takes all windows of the toxic documents of at most FIRST windows (of all toxic ones, if there is none such), as
+their label says most of each window. From the fourth on, toxic documents count only if their window stands out (of the best quarter, or above the share CLEAN of
+clean windows), as labels may be wrong. Clean windows are drawn anew for each epoch, NEGATIVES for each toxic one, a quarter of them those of CANDIDATES
+drawn that score highest. Words of fewer than SEEN of the documents have no embedding, so that rare ones can't stand for their document's label.
+
+Fitting uses at most SAMPLE labelled documents of each class, chosen by hash, and runs as one task on an executor, which is run again if that is lost. From HELD documents
+on, a quarter takes no part in fitting and sets the threshold (the best F0.5 of their highest windows, so that clean documents weigh more); with fewer, all of them set it. All texts are scored whole.
 
 Null or wordless texts: no score, not toxic. Rows that repeat are scored alike, and null ids are kept. If labels are
-missing, null or of one class, there is no model, no scores, and nothing is toxic. Other columns pass through.
+missing, null or of one class, there is no model, no scores, and nothing is toxic. An id of which any label is toxic counts as toxic; of an id with several texts
+the one of least hash is fitted. Other columns pass through; where docs has a column of an output's name, the output's gets underscores in front.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +33,9 @@ from pyspark.sql import types as T
 
 from strataflow.llm._shared import array_of, emptied, hashes, slices, words
 
-SAMPLE, WINDOWS = 1200, 24
+SAMPLE, HELD, FIRST, NEGATIVES, CANDIDATES, CLEAN = 1200, 200, 8, 2, 20_000, 0.99
 WINDOW, STRIDE, WORD = 48, 32, 24
-H, CHARS, CHAR_DIM, BUCKETS, WORD_DIM = 8, 256, 8, 4096, 8
+H, CHARS, CHAR_DIM, BUCKETS, WORD_DIM, SEEN = 8, 256, 8, 1 << 16, 8, 4
 EPOCHS, BATCH, RATE = 10, 128, 0.01
 OUTER = ".,;:!?\"'()[]{}|#*$%&<>/\\-_=+~^`@"
 
@@ -154,13 +161,17 @@ class Network:
             for k in "fb":
                 self.p |= {s + "w" + k: w(d, 3 * H), s + "u" + k: w(H, 3 * H), s + "b" + k: np.zeros(3 * H, np.float32)}
             self.p[s + "v"] = w(2 * H, scale=0.3)
+        self.known = np.ones((BUCKETS, 1), np.float32)
         self.threshold = 0.5
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("char", "word", "context")}
+
     def features(self, chars, length, bucket, drop=None, keep=False):
         """(V, 2H + WORD_DIM): characters and word of each distinct word."""
         self.char = Pooled(self.p, "c")
         pooled = self.char(self.p["chars"], chars, length, keep)
-        emb = self.p["words"][bucket]
+        emb = self.p["words"][bucket] * self.known[bucket]
         return np.concatenate([pooled, emb if drop is None else emb * drop], axis=1)
 
     def vocabulary(self, vocab, step=2048):
@@ -194,7 +205,7 @@ class Network:
         g["o"] += self.context.T @ dz
         g["ob"] += dz.sum()
         d = self.word.backward(dz[:, None] * self.p["o"][None], g)
-        g["words"] += summed(bucket, d[:, 2 * H :] * drop, BUCKETS)
+        g["words"] += summed(bucket, d[:, 2 * H :] * drop * self.known[bucket], BUCKETS)
         g["chars"] += self.char.backward(d[:, : 2 * H], g)
         return g
 
@@ -216,7 +227,7 @@ def pieces(texts: pa.Array):
     flat = np.repeat(start[code], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     length = np.asarray(pc.utf8_length(names)).astype(np.int64)
     points = np.frombuffer("".join(pc.utf8_rpad(names, WORD, "\0").to_pylist()).encode("utf-32-le", "replace"), np.uint32).reshape(-1, WORD)
-    chars = np.where(points < CHARS, points, 1 + points % (CHARS - 1)).astype(np.int64)
+    chars = np.where(points < CHARS, points, 1 + points % (CHARS - 1)).astype(np.uint8)
     bucket = (hashes(names) % np.uint64(BUCKETS)).astype(np.int64)
     return (chars, np.maximum(length, 1), bucket), flat, np.concatenate([[0], np.cumsum(per)])[offsets]
 
@@ -243,36 +254,42 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network | None:
         return None
     rng, net = np.random.default_rng(seed), Network(seed)
     text, start, length = windows(offsets)
-    chosen = np.lexsort((rng.random(len(text)), text))
-    nth = np.arange(len(text)) - np.searchsorted(text, text)
-    chosen = np.sort(chosen[nth < WINDOWS])
-    text, index, length = text[chosen], gather(codes, start[chosen], length[chosen]), length[chosen]
+    index = gather(codes, start, length)
+    both = np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets)) * BUCKETS + vocab[2][codes])
+    net.known = (np.bincount(both % BUCKETS, minlength=BUCKETS) >= SEEN).astype(np.float32)[:, None]
     used, index = np.unique(index, return_inverse=True)
     vocab, index = tuple(x[used] for x in vocab), index.reshape(-1, WINDOW)
     held = np.zeros(len(texts), bool)
-    if len(texts) >= 200:
+    if len(texts) >= HELD:
         held[rng.permutation(len(texts))[: len(texts) // 4]] = True
     toxic, clean = np.flatnonzero((y[text] == 1) & ~held[text]), np.flatnonzero((y[text] == 0) & ~held[text])
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
 
     def scores(rows):
-        return net.score(net.vocabulary(vocab), index.ravel(), rows * WINDOW, length[rows])
+        used, local = np.unique(index[rows], return_inverse=True)
+        return net.score(net.vocabulary(tuple(x[used] for x in vocab)), local.ravel(), np.arange(len(rows)) * WINDOW, length[rows])
 
-    most = max(1, (SAMPLE * 2) // BATCH)
+    count = np.bincount(text, minlength=len(texts))
+    few = toxic[count[text[toxic]] <= FIRST]
     epochs = max(EPOCHS, min(40, 60 * BATCH // max(1, 2 * len(np.unique(text[toxic])))))
     for epoch in range(epochs):
         if epoch:  # of each toxic text the window that scores highest
-            s = scores(toxic)
-            best = np.lexsort((-s, text[toxic]))
+            best = np.lexsort((-scores(toxic), text[toxic]))
             positive = toxic[best[np.unique(text[toxic][best], return_index=True)[1]]]
         else:
-            n = np.bincount(text[toxic], minlength=len(texts))
-            positive = toxic[n[text[toxic]] <= 8] if (n[text[toxic]] <= 8).any() else toxic
-        negative = rng.permutation(clean)[: max(2 * len(positive), 8 * BATCH)]
-        if epoch >= 2:  # a quarter of them the hardest
-            hard = clean[np.argsort(-scores(clean))[: len(negative) // 4]]
+            positive = few if len(few) else toxic
+        drawn = rng.permutation(clean)
+        negative = drawn[: max(NEGATIVES * len(positive), 8 * BATCH)]
+        if epoch >= 2:
+            drawn = drawn[:CANDIDATES]
+            s = scores(drawn)
+            if epoch >= 3:  # toxic texts of which no window stands out from clean ones may be labelled wrongly
+                own = scores(positive)
+                stands_out = own > np.quantile(s, CLEAN)
+                positive = positive[stands_out if stands_out.sum() >= len(own) // 4 else own >= np.quantile(own, 0.75)]
+            hard = drawn[np.argsort(-s)[: len(negative) // 4]]
             negative = np.concatenate([negative[: len(negative) - len(hard)], hard])
-        rows = rng.permutation(np.concatenate([positive, negative]))[: most * BATCH * 2]
+        rows = rng.permutation(np.concatenate([positive, negative]))
         for i in range(0, len(rows), BATCH):
             b = rows[i : i + BATCH]
             g = net.gradient(vocab, index[b], length[b], y[text[b]].astype(np.float32), rng)
@@ -289,12 +306,12 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network | None:
     use = full & (held if held.any() and len(np.unique(y[held & full])) == 2 else True)
     order = np.argsort(-top[use], kind="stable")
     ranked, hit = top[use][order], y[use][order] == 1
-    f1 = 2 * np.cumsum(hit) / (np.arange(1, len(hit) + 1) + hit.sum())
+    f = 1.25 * np.cumsum(hit) / (np.arange(1, len(hit) + 1) + 0.25 * hit.sum())
     ends = np.append(ranked[1:] < ranked[:-1], True)
-    k = int(np.argmax(np.where(ends, f1, -1)))
+    k = int(np.argmax(np.where(ends, f, -1)))
     below = ranked[k + 1] if k + 1 < len(ranked) else ranked[k] - 2
     net.threshold = float((ranked[k] + below) / 2)
-    net.held_f1 = float(f1[k])
+    net.held_f = float(f[k])
     return net
 
 
@@ -305,9 +322,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     if len({r["y"] for r in sample}) < 2:
         return None
     few = docs.sparkSession.createDataFrame(sample, "label_id long, y int")  # 2 * SAMPLE rows at most, however large the tables
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], np.array([r["y"] for r in rows])) if rows else None
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "y", "t.text")
+    made = one.coalesce(1).mapInArrow(training, "network binary").collect()
+    return pickle.loads(made[0]["network"]) if made else None
+
+
+def training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sampled documents to a trained network, if they have both classes."""
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
+    net = train([r["text"] for r in rows], np.array([r["y"] for r in rows])) if rows else None
+    if net is not None:
+        yield pa.record_batch({"network": pa.array([pickle.dumps(net)], pa.binary())})
 
 
 def scorer(net: Network | None, score: str, toxic: str):
@@ -329,7 +355,8 @@ def scorer(net: Network | None, score: str, toxic: str):
 
 
 def scored(docs: DataFrame, labels: DataFrame, score: str = "score", toxic: str = "toxic") -> DataFrame:
-    """docs with the columns score (0.5 is the threshold) and toxic."""
+    """docs with the columns score (0.5 is the threshold) and toxic, under names that docs doesn't have."""
+    score, toxic = emptied(score, docs.columns), emptied(toxic, docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(toxic, T.BooleanType())])
     return docs.mapInArrow(scorer(fit(docs, labels), score, toxic), schema)
 
