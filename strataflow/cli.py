@@ -1,4 +1,4 @@
-"""python -m strataflow.cli ingest PATH [-o FILE]: text files to JSON lines of chunks. info: what is supported."""
+"""python -m strataflow.cli ingest PATH [-o FILE]: text files to JSON lines of chunks, or with --json to their documents. info: what is supported."""
 
 from __future__ import annotations
 
@@ -6,42 +6,16 @@ import argparse
 import os
 import sys
 import time
-from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.api import Config, cache_dir, ingest, parse
 from strataflow.functions.languages import REGISTRY
-from strataflow.operators import structure
+from strataflow.operators import ocr
 from strataflow.sources import files, sinks
 
 
-@dataclass(frozen=True)
-class Config:
-    """A value given beats the environment's, which beats the default."""
-
-    chunk_tokens: int = 400
-    overlap: int = 60
-    min_tokens: int = 48
-    languages: tuple[str, ...] = ("en",)
-    skip_underscored: bool = False
-
-    @staticmethod
-    def of(**given) -> Config:
-        env = {k: int(v) for k in ("chunk_tokens", "overlap", "min_tokens") if (v := os.environ.get(f"STRATAFLOW_{k.upper()}"))}
-        return Config(**env | {k: v for k, v in given.items() if v is not None})
-
-
-def ingest(spark: SparkSession, path: str, config: Config = Config()):
-    """(files, chunks) of a file or folder. Formats other than text need an extractor, and are reported as errors."""
-    found = files.files(spark, path, config.skip_underscored) if os.path.isdir(path) else files.named(spark, [path])
-    found = found.withColumn("error", F.coalesce("error", F.when(F.col("ext") != ".txt", F.lit("no extractor for this format is installed"))))
-    t = files.texts(found)
-    docs = t.select("source", "filename", F.lit("txt").alias("doc_type"), structure.elements_of(F.col("text")).alias("elements"))
-    chunks = structure.chunks(docs, config.chunk_tokens, config.overlap, config.min_tokens, list(config.languages))
-    return found, chunks.withColumns({"source_file": F.col("source"), "ocr_used": F.lit(False), "garble_suspected": F.lit(False)})
-
-
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="strataflow")
     sub = p.add_subparsers(dest="command", required=True)
@@ -52,11 +26,14 @@ def main(argv: list[str] | None = None) -> int:
     for k in ("chunk-tokens", "overlap", "min-tokens"):
         a.add_argument(f"--{k}", type=int)
     a.add_argument("--skip-underscored", action="store_true")
+    a.add_argument("--json", metavar="FILE", help="the parsed documents, beside the chunks")
     sub.add_parser("info")
     args = p.parse_args(argv)
     if args.command == "info":
         print("languages: " + ", ".join(f"{x.iso} ({x.name}, {x.pack})" for x in REGISTRY))
         print("formats: " + ", ".join(sorted(files.FORMATS)))
+        print(f"OCR engines: none is part of this package; modes: none, auto, tesseract, {', '.join(ocr.NEURAL)}")
+        print(f"GPU: {'yes' if ocr.gpu_there() else 'no'}; OCR cache: {cache_dir()}")
         return 0
     if not os.path.exists(args.path):
         print(f"no such file or folder: {args.path}", file=sys.stderr)
@@ -64,7 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     began = time.time()
     spark = SparkSession.builder.appName("strataflow").getOrCreate()
     named = [x for x in args.lang.replace("/", ",").split(",") if x]
-    found, chunks = ingest(spark, args.path, Config.of(chunk_tokens=args.chunk_tokens, overlap=args.overlap, min_tokens=args.min_tokens, languages=tuple(named), skip_underscored=args.skip_underscored))
+    config = Config.of(chunk_tokens=args.chunk_tokens, overlap=args.overlap, min_tokens=args.min_tokens, languages=tuple(named), skip_underscored=args.skip_underscored)
+    found, chunks = ingest(spark, args.path, config)
+    if args.json:
+        sinks.dump_documents(parse(spark, args.path, config=config)[1], args.json)
     n = sinks.write_one(chunks, args.out) if args.out else sinks.write_to(chunks, sys.stdout)
     seen = found.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("ok")).first()
     print(f"{seen['n']} files, {seen['n'] - seen['ok']} failed, {n} chunks", file=sys.stderr)

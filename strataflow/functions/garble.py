@@ -1,16 +1,23 @@
-"""Signals of damaged text, all as Catalyst expressions but for NFC, which only rows with characters from U+0300 on go through."""
+"""Signals of damaged text.
+
+measured() counts characters and words by class in one Arrow pass over a text's code points, and hands back the words that may be damaged; the signals
+are Catalyst expressions over that, and regular expressions see only those words.
+"""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataflow.functions.languages import BLOCK_OF_PACK
-from strataflow.functions.text import SPACES, count_of, let, letters
+from strataflow.functions.text import count_of, let, letters
 
 #: Parts of names of fonts that map glyphs of a script to Latin code points, and the script's OCR pack, in order of precedence.
 FONTS = [(part, pack) for pack, parts in (
@@ -48,18 +55,91 @@ MARKED = f"(?:^|{INDIC_LETTER})\\P{{L}}*?[\\p{{Mn}}&&[{chars(MARKS)}]]"
 CORRUPT = f"(?s)\\x{{FFFD}}|\\p{{Co}}|{MARKED}|{MIXED}"
 _NEVER = f"[{escaped(NEVER)}]"
 SPLICED = f"(?<={INDIC_CHAR}){_NEVER}|{_NEVER}(?={INDIC_CHAR})|(?<={INDIC_CHAR})[[\\p{{P}}\\p{{S}}]&&[^{escaped(ATTACHED + NEVER)}]](?={INDIC_CHAR})"
-HIGH = r"[^\x{0}-\x{2FF}]"
-
-
-@F.pandas_udf(T.StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
-def with_nfc(df: DataFrame, column: str, to: str) -> DataFrame:
-    """Text below U+0300 is in form C as it stands, so only the other rows leave the JVM."""
-    high = F.coalesce(F.col(column).rlike(HIGH), F.lit(False))
-    return df.where(~high).withColumn(to, F.col(column)).union(df.where(high).withColumn(to, _nfc(column)))
+HIGH, STEP = 0x300, 1 << 18
+LETTER, ACCENTED, ASCII, VOWEL, UPPER, DIGIT, ALNUM, SPACE, PRIVATE = (1 << k for k in range(9))
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The classes of each code point, as bits."""
+    points = range(0x110000)
+    kind = [unicodedata.category(chr(c)) for c in points]
+    out = np.zeros(len(kind), np.uint16)
+    first = np.array([k[0] for k in kind])
+    kinds = np.array(kind)
+    out[first == "L"] |= LETTER | ALNUM
+    out[first == "N"] |= ALNUM
+    out[kinds == "Nd"] |= DIGIT
+    out[kinds == "Co"] |= PRIVATE
+    out[0xC0:0x250][(out[0xC0:0x250] & LETTER) > 0] |= ACCENTED
+    for low, high in (("A", "Z"), ("a", "z")):
+        out[ord(low) : ord(high) + 1] |= ASCII
+    out[ord("A") : ord("Z") + 1] |= UPPER
+    out[[ord(c) for c in "aeiouAEIOU"]] |= VOWEL
+    out[[*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] |= SPACE
+    return out
+
+
+def _scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, their classes, offsets of texts, starts of words, offsets of each text's words)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    kind = _classes()[points]
+    full = (kind & SPACE) == 0
+    begin = full.copy()
+    begin[1:] &= ~full[:-1]
+    begin[offsets[:-1][offsets[:-1] < len(points)]] = True
+    start = np.flatnonzero(begin & full)
+    return points, kind, offsets, start, np.searchsorted(start, offsets)
+
+
+def _per(flags: np.ndarray, at: np.ndarray, op=np.add) -> np.ndarray:
+    """op over flags from each place to the next."""
+    return op.reduceat(flags.astype(np.int32), at) if len(at) else np.zeros(0, np.int32)
+
+
+def _between(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets]).astype(np.int32)
+
+
+MEASURED = T.StructType([*[T.StructField(k, T.IntegerType()) for k in "letters accented ascii vowels upper digits alnum n spiked bare words nfc_letters pua fffd".split()], T.StructField("suspects", T.ArrayType(T.StringType()))])
+
+
+@F.arrow_udf(MEASURED)
+def measured(texts: pa.Array) -> pa.Array:
+    """Counts of a text's characters and words; of its form C the words of two letters, letters, private-use and replacement characters, and those words that hold a character from U+0300 on.
+    Texts are taken together up to about STEP bytes, which stay in the processor's caches."""
+    part = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)) // STEP
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return pa.concat_arrays([_measure(texts[i:j]) for i, j in zip(cuts, cuts[1:])])
+
+
+def _measure(texts: pa.Array) -> pa.Array:
+    null = texts.is_null()
+    raw = pc.fill_null(texts, "").to_pylist()
+    points, kind, offsets, start, words = _scan(raw)
+    own = {k: _between((kind & bit) > 0, offsets) for k, bit in (("letters", LETTER), ("accented", ACCENTED), ("ascii", ASCII), ("vowels", VOWEL), ("upper", UPPER), ("digits", DIGIT), ("alnum", ALNUM))}
+    ascii_ = (kind & ASCII) > 0
+    spike = np.zeros(len(points), bool)
+    spike[1:-1] = ((points[1:-1] == 58) | (points[1:-1] == 59)) & ascii_[:-2] & ascii_[2:]
+    latin = _per(ascii_, start) > 0
+    bare = latin & (_per((kind & VOWEL) > 0, start) == 0) & (_per((kind & LETTER) > 0, start) >= 2)
+    own |= {"n": _between(latin, words), "spiked": _between(latin & (_per(spike, start) > 0), words), "bare": _between(bare, words)}
+    changed = [t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in raw]
+    if any(x is not y for x, y in zip(raw, changed)):
+        points, kind, offsets, start, words = _scan(changed)
+    several = _per((kind & LETTER) > 0, start) >= 2
+    own |= {"words": _between(several, words), "nfc_letters": _between((kind & LETTER) > 0, offsets), "pua": _between((kind & PRIVATE) > 0, offsets), "fffd": _between(points == 0xFFFD, offsets)}
+    high = several & (_per(points, start, np.maximum) >= HIGH)
+    space = np.append((kind & SPACE) > 0, True)
+    stop = np.minimum.accumulate(np.where(space, np.arange(len(space)), len(points))[::-1])[::-1]
+    at = np.flatnonzero(high)
+    text_of = np.searchsorted(offsets, start[at], side="right") - 1
+    first = start[at] - offsets[text_of]
+    last = np.minimum(stop[start[at]], offsets[text_of + 1]) - offsets[text_of]
+    suspects = [changed[t][i:j] for t, i, j in zip(text_of.tolist(), first.tolist(), last.tolist())]
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, words).astype(np.int32)), pa.array(suspects, pa.string()))
+    return pa.StructArray.from_arrays([*[pa.array(own[f.name]) for f in MEASURED.fields[:-1]], lists], names=[f.name for f in MEASURED.fields], mask=null)
 
 
 def font_pack(fonts: Column) -> Column:
@@ -79,42 +159,29 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def latin1_ratio(text: Column) -> Column:
-    return ratio(count_of(text, r"[\p{L}&&[\x{C0}-\x{24F}]]"), letters(text))
+def latin1_ratio(m: Column) -> Column:
+    return ratio(m["accented"], m["letters"])
 
 
-def latin1(text: Column) -> Column:
+def latin1(m: Column) -> Column:
     """Accented letters are 40 % of all."""
-    return latin1_ratio(text) >= 0.4
+    return latin1_ratio(m) >= 0.4
 
 
-def ascii_glyphs(text: Column) -> Column:
+def ascii_glyphs(m: Column) -> Column:
     """ASCII letters that don't make Latin words: few vowels, and semicolons within words or many words without a vowel."""
-    count = lambda p: count_of(text, p)
-    words = F.filter(F.split(text, SPACES), lambda w: w.rlike("[A-Za-z]"))
-    spiked = F.size(F.filter(words, lambda w: w.rlike("[A-Za-z][;:][A-Za-z]")))
-    bare = F.size(F.filter(words, lambda w: ~w.rlike("[aeiouAEIOU]") & (letters(w) >= 2)))
-    all_ = {"ascii": count("[A-Za-z]"), "letters": letters(text), "vowels": count("[aeiouAEIOU]"), "upper": count("[A-Z]"), "digits": count(r"(?U)\d"), "alnum": count(r"[\p{L}\p{N}]"), "n": F.size(words), "spiked": spiked, "bare": bare}
+    prose = (ratio(m["bare"], m["n"]) >= 0.4) & (ratio(m["digits"], m["alnum"]) < 0.1) & (ratio(m["upper"], m["ascii"]) < 0.3)
+    return F.coalesce((ratio(m["ascii"], m["letters"]) >= 0.85) & (m["n"] >= 8) & (ratio(m["vowels"], m["ascii"]) < 0.35) & ((ratio(m["spiked"], m["n"]) >= 0.15) | prose), F.lit(False))
 
-    def judge(c: Column) -> Column:
-        prose = (ratio(c["bare"], c["n"]) >= 0.4) & (ratio(c["digits"], c["alnum"]) < 0.1) & (ratio(c["upper"], c["ascii"]) < 0.3)
-        return (ratio(c["ascii"], c["letters"]) >= 0.85) & (c["n"] >= 8) & (ratio(c["vowels"], c["ascii"]) < 0.35) & ((ratio(c["spiked"], c["n"]) >= 0.15) | prose)
 
-    return F.coalesce(let(F.struct(*[v.alias(k) for k, v in all_.items()]), judge), F.lit(False))
+def counts(m: Column) -> Column:
+    """Struct of counts: corrupt and spliced words, words of two letters, letters, private-use and replacement characters."""
 
+    def struct(v: Column) -> Column:
+        hits = lambda p: F.size(F.filter(v["suspects"], lambda w: w.rlike(p)))
+        return F.struct(hits(CORRUPT).alias("corrupt"), hits(SPLICED).alias("spliced"), v["words"].alias("words"), v["nfc_letters"].alias("letters"), v["pua"].alias("pua"), v["fffd"].alias("fffd"))
 
-def counts(nfc: Column) -> Column:
-    """Struct of counts: corrupt and spliced words, words of two letters, letters, private-use and replacement characters."""
-    words = F.filter(F.split(nfc, SPACES), lambda w: letters(w) >= 2)
-    suspicious = nfc.rlike(HIGH)  # else no word can be
-    return F.struct(
-        F.when(suspicious, F.size(F.filter(words, lambda w: w.rlike(CORRUPT)))).otherwise(0).alias("corrupt"),
-        F.when(suspicious, F.size(F.filter(words, lambda w: w.rlike(SPLICED)))).otherwise(0).alias("spliced"),
-        F.size(words).alias("words"),
-        letters(nfc).alias("letters"),
-        count_of(nfc, r"\p{Co}").alias("pua"),
-        count_of(nfc, r"\x{FFFD}").alias("fffd"),
-    )
+    return let(m, struct)  # a bare struct would be taken apart, and its filters run once for each use
 
 
 def _floor(c: Column, fffd: int, pua: int, pua_share: float, bad: int, bad_share: float) -> Column:
@@ -136,14 +203,14 @@ def suspect_floor(c: Column) -> Column:
 
 def signals(df: DataFrame, column: str = "text", fonts: str | None = None) -> DataFrame:
     """df with all signals of a page's text, `garbled` (any of five) and `suspect` (garbled, or under the lower floor)."""
-    out = with_nfc(df, column, "_nfc").withColumn("_c", counts(F.col("_nfc")))
-    text, c = F.col(column), F.col("_c")
+    out = df.withColumn("_m", measured(F.col(column))).withColumn("_c", counts(F.col("_m")))
+    m, c = F.col("_m"), F.col("_c")
     out = out.withColumns({
-        "legacy_font": font_pack(F.col(fonts)).isNotNull() if fonts else F.lit(False), "latin1": latin1(text), "ascii_glyphs": ascii_glyphs(text),
+        "legacy_font": font_pack(F.col(fonts)).isNotNull() if fonts else F.lit(False), "latin1": latin1(m), "ascii_glyphs": ascii_glyphs(m),
         "broken_cmap": broken_cmap(c), "symbol_glyphs": symbol_glyphs(c), "floor": suspect_floor(c),
     })
     garbled = F.col("legacy_font") | F.col("latin1") | F.col("ascii_glyphs") | F.col("broken_cmap") | F.col("symbol_glyphs")
-    return out.withColumn("garbled", garbled).withColumn("suspect", garbled | F.col("floor")).drop("_nfc", "_c", "floor")
+    return out.withColumn("garbled", garbled).withColumn("suspect", garbled | F.col("floor")).drop("_m", "_c", "floor")
 
 
 def script_ratio(text: Column, pack: str) -> Column:

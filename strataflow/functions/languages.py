@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from strataflow.functions.text import count_of
+from pyspark.sql import types as T
 
 
 class Language(NamedTuple):
@@ -61,27 +62,54 @@ def display_name(iso: Column) -> Column:
     return F.try_element_at(literal_map({x.iso: x.name for x in REGISTRY}), iso)
 
 
-def _most(text: Column, latin: bool, pool: list[str]) -> Column:
-    counts = {c: count_of(text, c) for c in {BY_ISO[i].characters for i in pool} if c}
-    rows = [(count_of(text, "[A-Za-z]"), 0, "en")] if latin else []
-    rows += [(counts[BY_ISO[i].characters], k, i) for k, i in enumerate(pool, 1) if BY_ISO[i].characters]
+BLOCKS = sorted({x.block for x in REGISTRY if x.block is not None})
+COUNTS = T.StructType([T.StructField(k, T.IntegerType()) for k in ("latin", *(f"b{b:x}" for b in BLOCKS))])
+
+
+@F.arrow_udf(COUNTS)
+def counts(texts: pa.Array) -> pa.Array:
+    """ASCII letters and characters of each block, all from one pass over the UTF-8 bytes: a block from U+0900 to U+0DFF is a lead byte and half of the next one's range."""
+    texts = texts.cast(pa.large_string())
+    n, null = len(texts), np.asarray(texts.is_null())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+
+    def per_text(at: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(at, offsets)).astype(np.int32)
+
+    latin = np.flatnonzero(((raw | 32) >= 97) & ((raw | 32) <= 122))
+    lead = np.flatnonzero(raw[:-1] == 0xE0) if len(raw) else latin
+    block = 0x800 + ((raw[lead + 1].astype(np.int64) - 0xA0) >> 1) * 0x80 if len(lead) else lead
+    columns = [per_text(latin), *[per_text(lead[block == b]) for b in BLOCKS]]
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["latin", *[f"b{b:x}" for b in BLOCKS]], mask=pa.array(null))
+
+
+def _most(c: Column, latin: bool, pool: list[str]) -> Column:
+    rows = [(c["latin"], 0, "en")] if latin else []
+    rows += [(c[f"b{BY_ISO[i].block:x}"], k, i) for k, i in enumerate(pool, 1) if BY_ISO[i].block is not None]
     found = F.array(*[F.when(n > 0, F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(i).alias("iso"))) for n, k, i in rows])
     return F.array_max(found)["iso"]
 
 
-def of_text(text: Column, pool: list[str] | None = None) -> Column:
+def of_counts(c: Column, pool: list[str] | None = None) -> Column:
     """The language, English aside, whose block has most characters; null without any."""
-    return _most(text, False, pool or list(BY_ISO))
+    return _most(c, False, pool or list(BY_ISO))
 
 
-def dominant(text: Column, pool: list[str] | None = None) -> Column:
-    """As of_text(), but against ASCII letters, which count as English and win ties."""
-    return _most(text, True, pool or list(BY_ISO))
+def dominant(c: Column, pool: list[str] | None = None) -> Column:
+    """As of_counts(), but against ASCII letters, which count as English and win ties."""
+    return _most(c, True, pool or list(BY_ISO))
 
 
-def tag(text: Column, declared: list[str]) -> Column:
+def tag(c: Column, declared: list[str]) -> Column:
     """The dominant language; where there are no letters, English if it is declared, else the first declared."""
-    return F.coalesce(dominant(text, declared), F.lit("en" if "en" in declared or not declared else declared[0]))
+    return F.coalesce(dominant(c, declared), F.lit("en" if "en" in declared or not declared else declared[0]))
+
+
+def tagged(df: DataFrame, text: str, to: str, declared: list[str]) -> DataFrame:
+    """df with the language of a text, whose characters are counted once."""
+    return df.withColumn("_counts", counts(F.col(text))).withColumn(to, tag(F.col("_counts"), declared)).drop("_counts")
 
 
 def of_osd(osd: Column, candidates: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -202,7 +202,26 @@ def chunks(docs: DataFrame, budget: int = CHUNK_TOKENS, overlap: int = OVERLAP,
         F.col("path").alias("section_path"), F.coalesce(F.element_at(F.when(F.size("path") > 0, F.col("path")), -1), F.lit("")).alias("heading"), F.array_min("pages").alias("page"), "pages", "filename",
         F.when(is_table, True).alias("is_table"), shape.alias("table_shape"), F.when(is_table, F.size(tbl["rows"]) < 2).alias("low_rows"),
     )
-    return out.withColumn("language", languages.tag(F.col("text"), declared or list(languages.BY_ISO)))
+    return languages.tagged(out, "text", "language", declared or list(languages.BY_ISO))
+
+
+def custom(docs: DataFrame, chunker: Callable[[dict], list[dict]], declared: list[str] | None = None, strategy: str = "custom") -> DataFrame:
+    """docs(source, filename, doc_type, elements) to chunk records by the caller's chunker: it gets a document as a dictionary and gives its chunks in order, each with a
+    text and, if it likes, section_path, pages, is_table, table_shape and low_rows. It is shipped to the workers, a document at a time."""
+    kinds = [("source", pa.string()), ("filename", pa.string()), ("doc_type", pa.string()), ("ordinal", pa.int32()), ("text", pa.string()), ("section_path", pa.list_(pa.string())), ("pages", pa.list_(pa.int32())), ("is_table", pa.bool_()), ("table_shape", pa.list_(pa.int32())), ("low_rows", pa.bool_())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [{"section_path": [], "pages": []} | c | {k: d[k] for k in ("source", "filename", "doc_type")} | {"ordinal": i} for d in b.to_pylist() for i, c in enumerate(chunker(d))]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+    schema = "source string, filename string, doc_type string, ordinal int, text string, section_path array<string>, pages array<int>, is_table boolean, table_shape array<int>, low_rows boolean"
+    out = docs.select("source", "filename", "doc_type", "elements").mapInArrow(run, schema)
+    out = out.select(
+        X.stable_id(F.col("source"), F.array_join("section_path", X.PATH), F.col("ordinal")).alias("chunk_id"), "text", "source", "doc_type", F.lit(strategy).alias("strategy"), "ordinal", "section_path",
+        F.coalesce(F.try_element_at("section_path", F.lit(-1)), F.lit("")).alias("heading"), F.array_min("pages").alias("page"), "pages", "filename", "is_table", "table_shape", "low_rows",
+    )
+    return languages.tagged(out, "text", "language", declared or list(languages.BY_ISO))
 
 
 def merged(records: DataFrame, least: int = MIN_TOKENS, budget: int = CHUNK_TOKENS) -> DataFrame:

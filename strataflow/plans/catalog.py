@@ -72,8 +72,9 @@ def boiler_norm(spark, sf_dir):
 
 @query(O.LANGUAGE)
 def language_dominant(spark, sf_dir):
-    text = F.col("text")
-    return inputs.variants(spark, sf_dir).select("doc_id", "variant", languages.dominant(text).alias("dominant"), languages.of_text(text).alias("foreign_language"), languages.tag(text, ["hi", "ta"]).alias("tag"))
+    c = F.col("c")
+    v = inputs.variants(spark, sf_dir).withColumn("c", languages.counts(F.col("text")))
+    return v.select("doc_id", "variant", languages.dominant(c).alias("dominant"), languages.of_counts(c).alias("foreign_language"), languages.tag(c, ["hi", "ta"]).alias("tag"))
 
 
 @query(O.ALIAS)
@@ -106,24 +107,24 @@ def text_parse_elements(spark, sf_dir):
 
 @query(O.LATIN1)
 def latin1_signal(spark, sf_dir):
-    t = F.col("text")
-    return inputs.variants(spark, sf_dir).select("doc_id", "variant", garble.latin1_ratio(t).alias("ratio"), garble.latin1(t).alias("latin1"))
+    m = F.col("m")
+    return inputs.variants(spark, sf_dir).withColumn("m", garble.measured(F.col("text"))).select("doc_id", "variant", garble.latin1_ratio(m).alias("ratio"), garble.latin1(m).alias("latin1"))
 
 
 @query(O.GLYPHS)
 def ascii_glyph_signal(spark, sf_dir):
-    return inputs.variants(spark, sf_dir).select("doc_id", "variant", garble.ascii_glyphs(F.col("text")).alias("ascii_glyphs"))
+    return inputs.variants(spark, sf_dir).withColumn("m", garble.measured(F.col("text"))).select("doc_id", "variant", garble.ascii_glyphs(F.col("m")).alias("ascii_glyphs"))
 
 
 @query(O.CMAP)
 def cmap_signal(spark, sf_dir):
-    c = garble.with_nfc(inputs.variants(spark, sf_dir), "text", "nfc").withColumn("c", garble.counts(F.col("nfc")))
+    c = inputs.variants(spark, sf_dir).withColumn("m", garble.measured(F.col("text"))).withColumn("c", garble.counts(F.col("m")))
     return c.select("doc_id", "variant", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("corrupt", "words", "letters", "pua", "fffd")], garble.broken_cmap(F.col("c")).alias("broken_cmap"))
 
 
 @query(O.SPLICE)
 def splice_signal(spark, sf_dir):
-    c = garble.with_nfc(inputs.variants(spark, sf_dir), "text", "nfc").withColumn("c", garble.counts(F.col("nfc")))
+    c = inputs.variants(spark, sf_dir).withColumn("m", garble.measured(F.col("text"))).withColumn("c", garble.counts(F.col("m")))
     return c.select("doc_id", "variant", F.col("c.spliced").cast("long").alias("spliced"), garble.symbol_glyphs(F.col("c")).alias("symbol_glyphs"), garble.suspect_floor(F.col("c")).alias("suspect"))
 
 

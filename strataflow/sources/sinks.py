@@ -47,7 +47,18 @@ def document_json(docs: DataFrame) -> Iterator[dict]:
         yield {"source": d["source"], "doc_type": d["doc_type"], "metadata": {"filename": d["filename"]}, "elements": elements}
 
 
-def dump_documents(docs: DataFrame, path: str) -> None:
-    found = list(document_json(docs))
+def dump_documents(docs: DataFrame, path: str) -> int:
+    """One JSON file: an object if there is one document, else a list. Documents stream through; their number is returned."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(found[0] if len(found) == 1 else found, f, ensure_ascii=False, indent=2)
+        return dump_to(docs, f)
+
+
+def dump_to(docs: DataFrame, f: TextIO) -> int:
+    held: dict | None = None
+    n = 0
+    for n, d in enumerate(document_json(docs), 1):
+        if held is not None:
+            f.write(("[\n" if n == 2 else ",\n") + json.dumps(held, ensure_ascii=False, indent=2))
+        held = d
+    f.write("[]" if held is None else json.dumps(held, ensure_ascii=False, indent=2) if n == 1 else ",\n" + json.dumps(held, ensure_ascii=False, indent=2) + "\n]")
+    return n

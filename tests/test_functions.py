@@ -35,7 +35,7 @@ def test_corrupt_and_spliced_words(spark):
 
 def test_language_ties_and_fallback(spark):
     rows = [("ab", "en"), ("కఖ", "te"), ("aక", "en"), ("अआ", "hi"), ("12", "ta"), (None, "ta")]
-    out = spark.createDataFrame([r[:1] for r in rows], "t string").select(languages.tag(F.col("t"), ["ta", "hi", "te", "mr"])).collect()
+    out = spark.createDataFrame([r[:1] for r in rows], "t string").select(languages.tag(languages.counts(F.col("t")), ["ta", "hi", "te", "mr"])).collect()
     assert [r[0] for r in out] == [r[1] for r in rows]
     assert languages.pinned_pack(["en", "te"]) == "tel" and languages.pinned_pack(["te", "hi"]) is None
 
