@@ -122,6 +122,12 @@ def of_osd(osd: Column, candidates: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(candidates, normalize), lambda c: F.try_element_at(osd_of, c) == name), F.lit(0)), F.try_element_at(literal_map(owner), name))
 
 
+def pinned(declared: Column) -> Column:
+    """As pinned_pack(), of an array of ISO codes."""
+    foreign = F.array_distinct(F.filter(declared, lambda i: i != "en"))
+    return F.when(F.size(foreign) == 1, F.try_element_at(literal_map(PACKS), F.get(foreign, F.lit(0))))
+
+
 def pinned_pack(declared: list[str]) -> str | None:
     """The pack that is used without detection: only where exactly one language beside English is declared."""
     foreign = [i for i in dict.fromkeys(declared) if i != "en"]

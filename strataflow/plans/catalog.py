@@ -149,8 +149,8 @@ def script_ratio(spark, sf_dir):
 
 @query(O.OCR_TEXT)
 def ocr_text_gate(spark, sf_dir):
-    t = X.without_markup(F.concat(F.lit("<b>"), F.substring("text", 1, 40), F.lit("</b><br>x")))
-    return docs(spark, sf_dir).select("doc_id", X.plausible(t).alias("plausible"), X.plausible(F.substring("text", 1, 15)).alias("short"), X.figure(t).alias("shown"))
+    t = X.without_markup(F.concat(F.lit("<b>"), F.col("text"), F.lit("</b><br>x")))
+    return docs(spark, sf_dir).select("doc_id", X.plausible(t).alias("plausible"), X.plausible(F.regexp_replace("text", "[a-m]", "1")).alias("damaged"), X.figure(t).alias("shown"))
 
 
 @query(f"SELECT source, page, sum(length(text)) AS raw_length, array_to_string(list_sort(list(DISTINCT font)), ',') AS fonts, count(*) AS n FROM ({inputs.SQL_ITEMS}) GROUP BY source, page")
@@ -161,7 +161,7 @@ def page_items(spark, sf_dir):
 
 @query(O.PAGES)
 def page_decision(spark, sf_dir):
-    f = layout.page_facts(inputs.items(spark, sf_dir).withColumn("fonts", F.array("font")).withColumn("text", F.when(F.col("page") > 1, F.col("text")).otherwise(F.substring("text", 1, 1))))
+    f = layout.page_facts(inputs.items(spark, sf_dir).withColumn("fonts", F.array("font")))
     return f.select("source", "page", "raw_length", "scanned", "judged", F.md5("text").alias("text_md5"), garble.font_pack(F.col("fonts")).alias("pack"))
 
 
@@ -274,7 +274,7 @@ def merge_small(spark, sf_dir):
 @query(O.CHUNK_TEXT)
 def chunk_text_render(spark, sf_dir):
     path = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", F.lit(""), "source"))
-    return docs(spark, sf_dir).select("doc_id", X.chunk_text(path, F.substring("text", 1, 30)).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", X.chunk_text(path, F.col("text")).alias("text"))
 
 
 @query(O.ENRICH)
@@ -328,7 +328,7 @@ def ocr_plan_scanned(spark, sf_dir):
 @query(O.CACHE)
 def ocr_cache_split(spark, sf_dir):
     pages = inputs.table(spark, sf_dir, "pages")
-    want = pages.select("page_id", F.sha1(F.concat_ws("\x1f", F.substring("html", 1, 50), F.lit("stub:1"), F.lit("tel+eng"))).alias("digest"))
+    want = pages.select("page_id", F.sha1(F.concat_ws("\x1f", F.col("html"), F.lit("stub:1"), F.lit("tel+eng"))).alias("digest"))
     cache = want.where("page_id % 3 = 0").select("digest", F.when(F.col("page_id") % 2 == 0, "text").otherwise("").alias("text"), F.lit("stub").alias("engine"))
     hit, miss = ocr.cache_split(want, cache)
     out = hit.select("page_id", "digest", F.col("cached").alias("cached")).unionByName(miss.select("page_id", "digest", F.lit(None).cast("string").alias("cached")))
@@ -356,15 +356,16 @@ def ocr_execute(spark, sf_dir):
     return ocr.settled(done).select("page_id", "ocr_text", "detected", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT DISTINCT lang, NULL::VARCHAR AS pack FROM documents")
+@query("SELECT page_id, CASE WHEN f = ['te'] THEN 'tel' WHEN f = ['hi'] THEN 'hin' END AS pack FROM (SELECT page_id, list_distinct(list_filter(string_split(langs, ','), lambda x: x NOT IN ('', 'en'))) AS f FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'en,te' WHEN 1 THEN 'hi,en,hi' WHEN 2 THEN 'te,hi' ELSE 'en' END AS langs FROM pages))")
 def pin_script(spark, sf_dir):
-    lang = F.col("lang")
-    return docs(spark, sf_dir).select(lang).distinct().select(lang, languages.pack_of(languages.normalize(lang)).alias("pack"))
+    """The one pack of pages' declared languages, where exactly one beside English is declared."""
+    declared = F.expr("split(CASE page_id % 4 WHEN 0 THEN 'en,te' WHEN 1 THEN 'hi,en,hi' WHEN 2 THEN 'te,hi' ELSE 'en' END, ',')")
+    return inputs.table(spark, sf_dir, "pages").select("page_id", languages.pinned(declared).alias("pack"))
 
 
 @query(O.JSONL)
 def jsonl_projection(spark, sf_dir):
-    d = docs(spark, sf_dir).select(F.concat(F.lit("c_"), F.col("doc_id")).alias("chunk_id"), F.substring("text", 1, 20).alias("text"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("int")).alias("page"), F.col("lang").alias("language"))
+    d = docs(spark, sf_dir).select(F.concat(F.lit("c_"), F.col("doc_id")).alias("chunk_id"), F.col("text"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("int")).alias("page"), F.col("lang").alias("language"))
     r = structure.records(d)
     return r.select("chunk_id", "text", F.to_json("metadata").alias("metadata"))
 

@@ -115,10 +115,10 @@ FONTS_OUT = f"WITH n AS (SELECT p_partkey, least(p_type, {FONTS_NAME}) AS a, gre
 _R = lambda b: f"CASE WHEN {_L} = 0 THEN 0.0::DOUBLE ELSE {COUNT(b)} / {_L} END"
 SCRIPT = f"WITH {V}, r AS (SELECT doc_id, variant, {_R(r'\x{900}-\x{97F}')} AS d, {_R(r'\x{C00}-\x{C7F}')} AS t FROM v) SELECT doc_id, variant, greatest(d, t) AS ratio, CASE WHEN t > d THEN 'tel' ELSE 'hin' END AS pack, greatest(d, t) >= 0.3 AS accepted FROM r"
 _PLAUS = lambda t: f"(length({t}) >= 12 AND len(list_filter(regexp_split_to_array({t}, '{WS}+'), lambda w: length(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) >= 3)) >= 3 AND length(regexp_replace({t}, '[^\\p{{L}}\\s\\x{{A0}}\\x{{85}}\\p{{Z}}\\x{{0B}}\\x{{1C}}-\\x{{1F}}]', '', 'g')) / length({t}) >= 0.55)"
-OCR_TEXT = f"WITH t AS (SELECT doc_id, trim(substr(text, 1, 40) || chr(10) || 'x', ' ') AS shown, {_STRIP("substr(text, 1, 40) || chr(10) || 'x'")} AS a, {_STRIP('substr(text, 1, 15)')} AS b FROM documents) SELECT doc_id, {_PLAUS('a')} AS plausible, {_PLAUS('b')} AS short, '[Figure] ' || shown AS shown FROM t"
+OCR_TEXT = f"WITH t AS (SELECT doc_id, trim(text || chr(10) || 'x', ' ') AS shown, {_STRIP("text || chr(10) || 'x'")} AS a, {_STRIP("regexp_replace(text, '[a-m]', '1', 'g')")} AS b FROM documents) SELECT doc_id, {_PLAUS('a')} AS plausible, {_PLAUS('b')} AS damaged, '[Figure] ' || shown AS shown FROM t"
 IT = f"it AS ({SQL_ITEMS})"
 PAGES = f"""
-WITH {IT}, p AS (SELECT source, page, idx, font, CASE WHEN page > 1 THEN text ELSE substr(text, 1, 1) END AS text FROM it),
+WITH {IT}, p AS (SELECT source, page, idx, font, text FROM it),
 f AS (SELECT source, page, sum(length(text))::BIGINT AS raw_length, trim(string_agg(text, ' ' ORDER BY idx) FILTER (trim(text) <> '')) AS text, bool_or(contains(font, 'SHREE')) AS tel FROM p GROUP BY source, page)
 SELECT source, page, raw_length, raw_length < 20 AS scanned, length(coalesce(text, '')) >= 20 AS judged, md5(coalesce(text, '')) AS text_md5, CASE WHEN tel THEN 'tel' END AS pack FROM f
 """
@@ -172,7 +172,7 @@ path AS (SELECT conv_id, seq, 0 AS spot, coalesce(title, 'file') AS text FROM e
 kept AS (SELECT *, lag(text) OVER (PARTITION BY conv_id, seq ORDER BY spot) AS prior FROM path)
 SELECT conv_id, seq, string_agg(text, ' › ' ORDER BY spot) AS path FROM kept WHERE prior IS DISTINCT FROM text GROUP BY conv_id, seq
 """
-CHUNK_TEXT = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || ' › ' || source || chr(10) || chr(10) END || substr(text, 1, 30) AS text FROM documents"
+CHUNK_TEXT = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || ' › ' || source || chr(10) || chr(10) END || text AS text FROM documents"
 ENRICH = f"""
 WITH t AS ({SQL_TURNS}), c AS (SELECT *, (page - 1) // 2 AS chunk FROM t)
 SELECT source, chunk::BIGINT AS chunk, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, bool_or(ocr_used) AS ocr_used, bool_or(garble_suspect) AS garble_suspected, string_agg(DISTINCT ocr_engine, '+' ORDER BY ocr_engine) AS ocr_engine FROM c GROUP BY source, chunk
@@ -213,7 +213,7 @@ b AS (SELECT *, list_filter(verify, lambda p: (ocr_text = '{TELUGU}' AND p = 'te
 SELECT page_id, ocr_text, detected, CASE WHEN detected = 'tel' THEN 1.0::DOUBLE ELSE round(26 / 36, 6) END AS confidence FROM b WHERE detected IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k) = 1
 """
 CACHE = """
-WITH q AS (SELECT page_id, sha1(concat_ws(chr(31), substr(html, 1, 50), 'stub:1', 'tel+eng')) AS d FROM pages), c AS (SELECT DISTINCT d FROM q WHERE page_id % 6 = 0)
+WITH q AS (SELECT page_id, sha1(concat_ws(chr(31), html, 'stub:1', 'tel+eng')) AS d FROM pages), c AS (SELECT DISTINCT d FROM q WHERE page_id % 6 = 0)
 SELECT page_id, CASE WHEN c.d IS NOT NULL THEN 'text' END AS cached, 'stub_1/tel_eng/' || substr(q.d, 1, 2) || '/' || q.d AS path FROM q LEFT JOIN c ON q.d = c.d
 """
 RANK = f"""
@@ -222,6 +222,6 @@ h AS (SELECT *, CASE pos WHEN 0 THEN ['tel'] WHEN 1 THEN ['eng', 'tel', 'hin'] E
 SELECT page_id, pos::BIGINT AS pos, row_number() OVER (PARTITION BY page_id ORDER BY covers DESC, pos) AS rank FROM k WHERE covers > 0
 """
 JSONL = """
-SELECT 'c_' || doc_id AS chunk_id, substr(text, 1, 20) AS text, '{' || CASE WHEN doc_id % 2 = 0 THEN '"page":' || doc_id || ',' ELSE '' END || '"source":"' || source || '","language":"' || lang || '"}' AS metadata FROM documents
+SELECT 'c_' || doc_id AS chunk_id, text, '{' || CASE WHEN doc_id % 2 = 0 THEN '"page":' || doc_id || ',' ELSE '' END || '"source":"' || source || '","language":"' || lang || '"}' AS metadata FROM documents
 """
 FONTS = FONTS_OUT
