@@ -216,6 +216,24 @@ def test_passage_within_a_chain_that_fails(spark):
     assert [(x["doc_id"], x["source_doc_id"], x["start_word"], x["end_word"], x["identity"]) for x in got] == [(3, 2, 324, 380, 1.0)]
 
 
+def test_a_stray_seed_changes_no_chain():
+    """Matches that rise in both documents are chained without the tree, others by it: to the same chains."""
+    r = np.random.default_rng(6)
+    assert 2 * (substring_dedup.GAP + substring_dedup.K) * substring_dedup.GAP_COST < 1
+
+    def found(pts):
+        pts = sorted(pts)
+        b = pa.record_batch({"doc_id": pa.array([2] * len(pts)), "source_id": pa.array([1] * len(pts)), "places": pa.array([x << 32 | y for x, y in pts])})
+        return {(x["start"], x["stop"], x["source_start"], x["source_stop"], x["seeds"]) for o in substring_dedup.chaining(iter([b])) for x in o.to_pylist()}
+
+    assert found([(0, 0), (38, 38), (76, 76), (114, 114)]) == found([(0, 0), (38, 38), (76, 76), (114, 114), (500, 5)]) == {(0, 119, 0, 119, 4)}
+    for _ in range(50):
+        x = np.cumsum(r.integers(1, 50, 30)) + 1000
+        y = x + np.cumsum(r.integers(0, 3, 30))
+        pts = list(zip(x.tolist(), y.tolist()))
+        assert found([*pts, (5000, 3)]) == found(pts)
+
+
 def test_fenwick_chain_against_brute_force():
     r = np.random.default_rng(4)
     for _ in range(30):
