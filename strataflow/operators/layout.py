@@ -92,7 +92,7 @@ def classified(items: DataFrame) -> DataFrame:
 
 
 def documents(items: DataFrame, doc_type: str = "pdf") -> DataFrame:
-    """items to (source, filename, doc_type, elements): margins off, in reading order, classified; one shuffle by source at the end."""
+    """items to (source, filename, doc_type, elements): margins off, in reading order, classified. Shuffles by source for margins and font sizes, by page for the order, and by source for the array."""
     done = ordered(classified(without_margins(items)))
     tbl = F.col("tbl") if "tbl" in items.columns else F.lit(None).cast("struct<headers:array<string>,rows:array<array<string>>>")
     element = F.struct(F.col("type"), F.col("text"), F.col("level"), F.col("page"), tbl.alias("tbl"))
