@@ -7,8 +7,8 @@ pools its states into the window's score. A document's score is its highest wind
 
 Labels are of documents, so training is multiple-instance learning: of a toxic document only the window that scores highest, of all of its windows, counts as
 toxic. Before there are scores, a first epoch takes all windows of the toxic documents of at most FIRST windows (of all toxic ones, if there is none such), as
-their label says most of each window. From the fourth on, toxic documents count only if their window stands out (of the best quarter, or above the share CLEAN of
-clean windows), as labels may be wrong. Clean windows are drawn anew for each epoch, NEGATIVES for each toxic one, a quarter of them those of CANDIDATES
+their label says most of each window. From the fourth on, toxic documents count only if their window stands out (above the share CLEAN of clean windows, or, if
+that is under half of them, the better half), as labels may be wrong. Clean windows are drawn anew for each epoch, NEGATIVES for each toxic one, a quarter of them those of CANDIDATES
 drawn that score highest. Words of fewer than SEEN of the documents have no embedding, so that rare ones can't stand for their document's label.
 
 Fitting uses at most SAMPLE labelled documents of each class, chosen by hash, and runs as one task on an executor, which is run again if that is lost. From HELD documents
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from strataflow.llm._shared import array_of, emptied, hashes, slices, words
 
-SAMPLE, HELD, FIRST, NEGATIVES, CANDIDATES, CLEAN = 1200, 200, 8, 2, 20_000, 0.99
+SAMPLE, HELD, FIRST, NEGATIVES, CANDIDATES, CLEAN = 1200, 200, 8, 2, 20_000, 0.98
 WINDOW, STRIDE, WORD = 48, 32, 24
 H, CHARS, CHAR_DIM, BUCKETS, WORD_DIM, SEEN = 8, 256, 8, 1 << 16, 8, 4
 EPOCHS, BATCH, RATE = 10, 128, 0.01
@@ -286,7 +286,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network | None:
             if epoch >= 3:  # toxic texts of which no window stands out from clean ones may be labelled wrongly
                 own = scores(positive)
                 stands_out = own > np.quantile(s, CLEAN)
-                positive = positive[stands_out if stands_out.sum() >= len(own) // 4 else own >= np.quantile(own, 0.75)]
+                positive = positive[stands_out if stands_out.sum() >= len(own) // 2 else own >= np.median(own)]
             hard = drawn[np.argsort(-s)[: len(negative) // 4]]
             negative = np.concatenate([negative[: len(negative) - len(hard)], hard])
         rows = rng.permutation(np.concatenate([positive, negative]))
