@@ -216,6 +216,40 @@ def test_passage_within_a_chain_that_fails(spark):
     assert [(x["doc_id"], x["source_doc_id"], x["start_word"], x["end_word"], x["identity"]) for x in got] == [(3, 2, 324, 380, 1.0)]
 
 
+def test_passage_of_one_of_many_partners(spark):
+    """Neither the first document with a seed nor the one before has the passage as a whole, nor has the source's first occurrence."""
+    r = random.Random(12)
+    q, s = say(30, r), say(30, r)
+    rows = [(1, q), (2, s), (3, f"{q} {say(90, r)} {q} {s} {say(20, r)}"), (4, f"{say(9, r)} {q}"), (5, s), (6, f"{say(50, r)} {q} {s} {say(50, r)}"), (7, rows_of := say(50, r)), (8, rows_of)]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["source_doc_id"], x["start_word"], x["end_word"], x["source_start"]) for x in got) == [(6, 3, 50, 110, 120), (8, 7, 0, 50, 0)]
+
+
+def test_hot_seeds_lose_no_passage(spark, monkeypatch):
+    """Whichever seeds are hot, all of the passages are those found where every seed meets all of its occurrences."""
+    r = random.Random(13)
+    lines, base = [say(n, r) for n in (9, 12, 14, 14, 20, 30)], say(150, r).split()
+    texts = [" ".join(r.choice(lines) if r.random() < 0.6 else say(r.randint(1, 40), r) for _ in range(r.randint(2, 9))) for _ in range(50)]
+    texts += [" ".join(w if r.random() < 0.96 else "zz" for w in base) + " " + r.choice(lines) for _ in range(8)] + ["re " * 90 + lines[4], "do re " * 60 + lines[5], "re " * 70 + lines[4] * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for hot, share in ((10**9, 1), (0, 1), (6, 1), (20, 1), (0, 3)):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        monkeypatch.setattr(substring_dedup, "SHARE", share)
+        found[hot, share] = {tuple(x) for x in substring_dedup.passages(docs).collect()}
+    assert len(found[10**9, 1]) > 20 and all(f == found[10**9, 1] for f in found.values())
+
+
+def test_dense_chains_score_as_the_tree():
+    r = np.random.default_rng(8)
+    for size in (3, 12, 40):
+        pts = sorted({(int(a), int(b)) for a, b in r.integers(0, size, (size * 8, 2))})
+        x, y = np.array([p[0] for p in pts]), np.array([p[1] for p in pts])
+        one, two = substring_dedup.chains(x, y), substring_dedup.dense_chains(x, y)
+        score = lambda c: len(c) - substring_dedup.GAP_COST * (x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]])
+        assert score(one[0]) == pytest.approx(score(two[0])) and sorted(sum(one, [])) == sorted(sum(two, [])) == list(range(len(pts)))
+
+
 def test_a_stray_seed_changes_no_chain():
     """Matches that rise in both documents are chained without the tree, others by it: to the same chains."""
     r = np.random.default_rng(6)
