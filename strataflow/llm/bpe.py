@@ -30,7 +30,7 @@ from strataflow.llm._shared import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT, BLOCK, SLICE = 256, 1 << 18, 8 << 20
+SHORT, BLOCK, SLICE = 256, 1 << 18, 2 << 20
 NONE = 1 << 62
 
 

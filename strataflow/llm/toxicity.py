@@ -340,7 +340,7 @@ def scorer(net: Network | None, score: str, toxic: str):
     """Appends the document's score and verdict to each batch, without changing its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 2 << 20):
             top = np.full(b.num_rows, -np.inf, np.float32)
             if net is not None:
                 vocab, codes, offsets = pieces(array_of(b.column("text")))
