@@ -259,6 +259,24 @@ def test_hot_seeds_lose_no_passage(spark, monkeypatch):
     assert len(found[10**9, 1]) > 20 and all(f == found[10**9, 1] for f in found.values())
 
 
+def test_runs_of_one_word(spark):
+    """A run is a copy of one earlier run, or of one piece by piece: neither each place of it nor each document is matched with all others."""
+    r = random.Random(14)
+    rows = [(i, f"{say(60, r)} {'na ' * n}{say(60, r)}") for i, n in enumerate((200, 500, 300, 90))]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["start_word"], x["end_word"], x["source_doc_id"], x["identity"]) for x in got) == [(1, 60, 260, 0, 1.0), (1, 260, 460, 0, 1.0), (1, 360, 560, 0, 1.0), (2, 60, 360, 1, 1.0), (3, 60, 150, 0, 1.0)]
+
+
+def test_runs_within_passages(spark):
+    """Passages go on over runs, of another length too; a run with words in it is found in one without, and the other way round."""
+    r = random.Random(15)
+    a, b, na = say(30, r), say(30, r), lambda n: " ".join(["na"] * n)
+    texts = [f"{a} {na(40)} {b}", f"{a} {na(60)} {b}", f"{say(9, r)} {na(22)} {say(8, r)} {na(25)}", f"{b} {say(20, r)} {na(9)} {say(30, r)}"]
+    got = substring_dedup.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert any((x["doc_id"], x["start_word"], x["end_word"], x["source_doc_id"]) == (1, 0, 120, 0) for x in got)
+    assert any(x["doc_id"] == 2 and x["start_word"] == 9 and x["end_word"] == 64 for x in got)
+
+
 def test_dense_chains_score_as_the_tree():
     r = np.random.default_rng(8)
     for size in (3, 12, 40):
