@@ -259,6 +259,24 @@ def test_hot_seeds_lose_no_passage(spark, monkeypatch):
     assert len(found[10**9, 1]) > 20 and all(f == found[10**9, 1] for f in found.values())
 
 
+def test_matches_by_parts(spark, monkeypatch):
+    """However many parts the matches are made in, the passages are the same, none is made twice, and no part leaves its shuffle files."""
+    r = random.Random(16)
+    lines, key = [say(n, r) for n in (14, 30, 60)], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    texts = [" ".join(r.choice(lines) if r.random() < 0.6 else say(r.randint(1, 40), r) for _ in range(6)) for _ in range(40)] + [f"{say(9, r)} {'na ' * n} {lines[2]}" for n in (60, 90, 70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(substring_dedup.passages(docs).collect())
+    written, kept = [], substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, name: written.append((name, spark.conf.get(key))) or kept(df, name))
+    monkeypatch.setattr(substring_dedup, "PASS", 1)
+    monkeypatch.setattr(substring_dedup, "LEAST", 1)
+    assert sorted(substring_dedup.passages(docs).collect()) == whole and len(whole) > 20
+    assert sum(name == "chains" for name, _ in written) > 4 and {clean for _, clean in written} == {"true"} and spark.conf.get(key) == "false"
+    seeds = pa.record_batch({"seed": [1] * 4 + [2] * 3, "doc_id": [1, 2, 3, 4, 1, 2, 3], "place": pa.array(range(7), pa.int32()), "run": pa.array([0] * 4 + [40, 60, 50], pa.int32()), "kind": pa.array([0] * 7, pa.int8())})
+    made = [pa.Table.from_batches(list(substring_dedup.matches(iter([seeds]), k, n)) or [], pa.schema([("doc_id", pa.int64()), ("source_id", pa.int64()), ("places", pa.int64())])).to_pylist() for n in (1, 3) for k in range(n)]
+    assert sorted(map(str, made[0])) == sorted(map(str, sum(made[1:], []))) and max(map(len, made[1:])) < len(made[0])
+
+
 def test_runs_of_one_word(spark):
     """A run is a copy of one earlier run, or of one piece by piece: neither each place of it nor each document is matched with all others."""
     r = random.Random(14)
