@@ -108,23 +108,23 @@ def text_parse_elements(spark, sf_dir):
 @query(O.LATIN1)
 def latin1_signal(spark, sf_dir):
     m = F.col("m")
-    return inputs.variants(spark, sf_dir).withColumn("m", garble.measured(F.col("text"))).select("doc_id", "variant", garble.latin1_ratio(m).alias("ratio"), garble.latin1(m).alias("latin1"))
+    return inputs.variants(spark, sf_dir).withColumn("m", garble.damage(F.col("text"))).select("doc_id", "variant", garble.latin1_ratio(m).alias("ratio"), garble.latin1(m).alias("latin1"))
 
 
 @query(O.GLYPHS)
 def ascii_glyph_signal(spark, sf_dir):
-    return inputs.variants(spark, sf_dir).withColumn("m", garble.measured(F.col("text"))).select("doc_id", "variant", garble.ascii_glyphs(F.col("m")).alias("ascii_glyphs"))
+    return inputs.variants(spark, sf_dir).withColumn("m", garble.damage(F.col("text"))).select("doc_id", "variant", garble.ascii_glyphs(F.col("m")).alias("ascii_glyphs"))
 
 
 @query(O.CMAP)
 def cmap_signal(spark, sf_dir):
-    c = inputs.variants(spark, sf_dir).withColumn("m", garble.measured(F.col("text"))).withColumn("c", garble.counts(F.col("m")))
+    c = inputs.variants(spark, sf_dir).withColumn("m", garble.damage(F.col("text"))).withColumn("c", garble.counts(F.col("m")))
     return c.select("doc_id", "variant", *[F.col(f"c.{k}").cast("long").alias(k) for k in ("corrupt", "words", "letters", "pua", "fffd")], garble.broken_cmap(F.col("c")).alias("broken_cmap"))
 
 
 @query(O.SPLICE)
 def splice_signal(spark, sf_dir):
-    c = inputs.variants(spark, sf_dir).withColumn("m", garble.measured(F.col("text"))).withColumn("c", garble.counts(F.col("m")))
+    c = inputs.variants(spark, sf_dir).withColumn("m", garble.damage(F.col("text"))).withColumn("c", garble.counts(F.col("m")))
     return c.select("doc_id", "variant", F.col("c.spliced").cast("long").alias("spliced"), garble.symbol_glyphs(F.col("c")).alias("symbol_glyphs"), garble.suspect_floor(F.col("c")).alias("suspect"))
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,23 @@ def test_corrupt_and_spliced_words(spark):
     assert {r[0]: (r[1], r[2]) for r in rows} == said
 
 
+def test_damage_is_by_the_regular_expressions(spark):
+    """The counts of one pass over all texts of a batch are those of each text alone, and its words those that Java's regular expressions find."""
+    r = random.Random(3)
+    some = "ab é а я α β ט క ఖ ా ् क ा ৰ ਕ 中 ア 한 ა ะ ꙮ ʰ 𝐀 Ａ ́ ̈ ⃗ ⃝ \u0c56 \ufffd \ue000 | ^ - ( · ॥ + , 1 ٣ ; : \u00a0 \u2028".split(" ") + ["\x1c", "\x85"]
+    texts = ["".join(r.choice(some) + (" " if r.random() < 0.15 else "") for _ in range(r.randint(0, 60))) for _ in range(400)] + ["ab;", "ab", None, "", "\u1112\u1161\u11ab x", "క" * 300 + "λ"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    m = F.col("m")
+    hits = lambda p: F.size(F.filter(m["suspects"], lambda w: w.rlike(p)))
+    got = d.select("t", garble.damage("t").alias("d"), garble.measured("t").alias("m")).select("t", "d", hits(garble.CORRUPT).alias("corrupt"), hits(garble.SPLICED).alias("spliced")).collect()
+    assert len(got) == len(texts) and sum(x["corrupt"] for x in got if x["t"]) > 200 and sum(x["spliced"] for x in got if x["t"]) > 100
+    for x in got:
+        assert x["t"] is None and x["d"] is None or (x["d"]["corrupt"], x["d"]["spliced"]) == (x["corrupt"], x["spliced"]), x["t"]
+    assert next(x["d"]["spiked"] for x in got if x["t"] == "ab;") == 0
+    kinds = d.select("t", garble.script_letters("t").alias("s"), *[X.count_of(F.col("t"), rf"[\p{{L}}&&{languages.BY_ISO[i].characters}]").alias(i) for i in ("te", "hi", "bn")], X.letters(F.col("t")).alias("all")).where("t is not null").collect()
+    assert all((x["s"]["bc00"], x["s"]["b900"], x["s"]["b980"], x["s"]["letters"]) == (x["te"], x["hi"], x["bn"], x["all"]) for x in kinds)
+
+
 def test_language_ties_and_fallback(spark):
     rows = [("ab", "en"), ("కఖ", "te"), ("aక", "en"), ("अआ", "hi"), ("12", "ta"), (None, "ta")]
     out = spark.createDataFrame([r[:1] for r in rows], "t string").select(languages.tag(languages.counts(F.col("t")), ["ta", "hi", "te", "mr"])).collect()
